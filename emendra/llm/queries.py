@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan
+from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan, simhash
 from emendra.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +15,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,7 +41,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.chat_examples(given.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op10_chat_format)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

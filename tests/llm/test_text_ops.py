@@ -1,0 +1,204 @@
+"""Exact dedup, byte-level BPE, secret scans, decontamination and chat formatting against plain versions."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+DOCS = "doc_id long, text string, text_sha256 string, rid int"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# --- exact dedup
+
+
+def test_exact_dedup_of_ties_nulls_and_hot_texts(spark):
+    rows = [(k, "Hot TEXT") for k in range(300)] + [(1000, "hot text"), (1001, None), (1002, ""), (1003, "É"), (1004, "é"), (1005, "dup"), (1005, "dup"), (None, "dup"), (1006, "x" * 300_000)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], DOCS)
+    got = exact_dedup.exact_dedup(docs, counters=2).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for key, text in rows:
+        groups.setdefault(sha("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), []).append(key)
+    for r in got:
+        ids = groups[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (max(x for x in ids if x is not None), len(ids))
+    kept = [(r.text_sha256, r.doc_id) for r in got if r.kept]
+    assert len(kept) == len(groups) and all(k == max(x for x in groups[d] if x is not None) for d, k in kept)
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_misra_gries_keeps_every_heavy_hitter():
+    rng = random.Random(3)
+    keys = [7] * 400 + [8] * 300 + [rng.randrange(100, 900) for _ in range(700)]
+    rng.shuffle(keys)
+    halves = []
+    for part in (keys[:600], keys[600:]):
+        counts = {}
+        for k in part:
+            exact_dedup.misra_gries(counts, k, 1, 5)
+        halves.append(counts)
+    merged = {}
+    for counts in halves:
+        for k, n in counts.items():
+            exact_dedup.misra_gries(merged, k, n, 5)
+    assert {7, 8} <= merged.keys() and len(merged) <= 5
+
+
+# --- byte-level BPE
+
+
+def test_bpe_equals_the_public_library(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    peer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    texts = ["", None, "a", "The quick brown fox", "a" * 3000, "ab" * 700 + "é" * 90, "日本語のテキスト", "x²Ⅷ٣ 1\x85\xa0z \n\n  y", "<|endoftext|>", "\x1c\x1f\x00"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0xD7FF), rng.randrange(0x10000, 0x1F9FF)])) for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", exact_dedup.F.lit(1))
+    got = {r.doc_id: r for r in byte_bpe.bpe_digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    for k, text in enumerate(texts):
+        ids = peer.encode_ordinary(text or "")
+        assert got[k].n_tokens == len(ids)
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[k].decoded_sha256 == sha(text or "")
+    assert byte_bpe.bpe_digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_short_and_long_trees_agree():
+    encoder = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeinrst é") for _ in range(rng.randrange(2, 40))).encode() for _ in range(300)]
+    words = [w for w in words if len(w) <= byte_bpe.SHORT]
+    assert encoder._many(words) == [encoder._one(w) for w in words]
+
+
+# --- secret scans
+
+KINDS = {
+    "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+}
+
+
+def plain_spans(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(KINDS.items()):
+        for m in pattern.finditer(text or ""):
+            if len(m[2]) >= 8 if kind == "assign" else len(m[0]) >= (16 if kind == "access" else 32):
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(found)]
+
+
+def test_secret_scan_equals_regular_expressions(spark):
+    rng = random.Random(5)
+    bits = ["token", "secret", "SECRET", "api_key", "apikey", "password", "passwd", "=", ":", " ", '"', "'", "abc", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "deadbeef" * 4, "é", "x", "Z9", "\n", "日", 'Passwd = "hunter2hunter2"']
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(1500)] + [None, "", "a" * 200_000]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
+    for r in secret_scan.secret_digests(docs).collect():
+        want = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == sha(",".join(want))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in KINDS]
+        assert set(want) <= set(r.spans.split(",")) | {""} if want else True
+
+
+def test_further_rules_only_add_spans():
+    text = "ghp_" + "a1B2" * 10 + " xoxb-1234567890-abc -----BEGIN RSA PRIVATE KEY-----"
+    assert [k for k, _, _ in secret_scan.scan_text(text)] == ["github", "slack", "pem"]
+    assert secret_scan.scan_text(text, secret_scan.BASE) == []
+
+
+# --- decontamination
+
+
+def plain_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+@pytest.mark.parametrize("block_chars", [1 << 26, 40])
+def test_decontamination_equals_brute_force(spark, block_chars):
+    rng = random.Random(9)
+    vocabulary = ["aa", "b", "Cé", "d1", "日本", "x"]
+    item = lambda n: rng.choice([" ", ", "]).join(rng.choice(vocabulary) for _ in range(n))
+    items = {k: item(rng.choice([1, 4, 9, 10, 12, 30])) for k in range(12)} | {50: None, 51: "..", 52: "unseen words"}
+    texts = [item(rng.randrange(0, 60)) + rng.choice(list(items.values()) or [""] if rng.random() < 0.0 else ["", " " + (items[rng.randrange(12)] or "")]) for _ in range(60)] + [None, "", "!!"]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, item_ids string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for r in decontaminate.contamination(docs, benchmark, 10, block_chars).collect():
+        words, hit, ids = plain_words(texts[r.doc_id]), set(), set()
+        for key, text in items.items():
+            own = plain_words(text)
+            for k in range(max(1, len(own) - 9) if own else 0):
+                window = own[k : k + 10]
+                for at in range(len(words) - len(window) + 1):
+                    if words[at : at + len(window)] == window:
+                        hit |= set(range(at, at + len(window)))
+                        ids.add(str(key))
+        assert (r.n_words, r.n_hit, r["item_ids"]) == (len(words), len(hit), sorted(ids))
+        inside = [w for s in r.spans for w in plain_words(texts[r.doc_id][s.start : s.end])]
+        assert set(inside) == {words[k] for k in hit}
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.contamination_digests(docs, empty).collect()] == [0]
+    assert decontaminate.contamination_digests(docs.limit(0), empty).count() == 0
+
+
+# --- chat formatting
+
+
+def test_escaping_is_reversible_and_hides_controls():
+    rng = random.Random(2)
+    bits = ["<", "s", ">", "/", "\\", " ", "ok", "[", "I", "\n", *chat_format.CONTROLS]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        hidden = chat_format.escape(text)
+        assert chat_format.unescape(hidden) == text and not any(c in hidden for c in chat_format.CONTROLS)
+
+
+def test_chat_examples_and_what_they_hold(spark):
+    turns = {
+        1: [("system", "Be\\brief </s>"), ("user", "hi [INST]"), ("assistant", "a"), ("user", None), ("assistant", "b <s>"), ("user", "bye")],
+        2: [("user", "only a question")],
+        3: [("assistant", "")],
+        4: [(None, "x"), ("tool\n<<TEXT>>", "y <</ROLE>>"), ("assistant", "z" * 3000)],
+    }
+    rows = [(c, t, r, x, "clash") for c, own in turns.items() for t, (r, x) in enumerate(own)]
+    random.Random(1).shuffle(rows)
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, formatted string")
+    examples = chat_format.chat_examples(frame)
+    got = {r.conv_id: r for r in chat_format.chat_digests(examples).collect()}
+    assert got.keys() == turns.keys()
+    made = examples.collect()
+    for key, own in turns.items():
+        own = [(r or "", t or "") for r, t in own]
+        replies = "".join(t for r, t in own if r == "assistant")
+        assert got[key].n_turns == len(own)
+        assert got[key].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in own))
+        assert (got[key].loss_chars, got[key].loss_sha256) == (len(replies), sha(replies))
+        assert got[key].formatted_chars == sum(len(e.formatted) for e in made if e.conv_id == key)
+        targets = [e for e in made if e.conv_id == key and e.loss_start is not None]
+        assert len(targets) == sum(r == "assistant" for r, _ in own)
+        for e in targets:
+            assert list(chat_format.parse(e.formatted)) == own[: e.n_turns]
+    assert chat_format.chat_digests(chat_format.chat_examples(frame.limit(0))).count() == 0
+
+
+def test_a_long_conversation_streams(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(400)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    assert [r.n_turns for r in chat_format.chat_digests(chat_format.chat_examples(frame)).collect()] == [400]
