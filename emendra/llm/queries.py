@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan, simhash
+from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan, simhash, toxicity
 from emendra.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit_model(docs, table(spark, sf_dir, "labels")))
+
+
 #: A conversation whose texts are made of the template's own control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -41,7 +46,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.chat_examples(given.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_chat_format)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
