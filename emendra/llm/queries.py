@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan, simhash, toxicity
+from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_wrapper, secret_scan, simhash, toxicity
 from emendra.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -46,7 +50,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.chat_examples(given.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_html_wrapper, op2_byte_bpe, op3_simhash, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_chat_format)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
