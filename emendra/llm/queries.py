@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_wrapper, secret_scan, simhash, toxicity, trie_counts
+from emendra.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_wrapper, secret_scan, simhash, suffix_dedup, toxicity, trie_counts
 from emendra.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed", "kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.chat_examples(given.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_wrapper, op2_byte_bpe, op3_simhash, op4_trie_counts, op5_exact_dedup, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_html_wrapper, op2_byte_bpe, op3_simhash, op4_trie_counts, op5_exact_dedup, op6_suffix_dedup, op7_secret_scan, op8_decontaminate, op9_toxicity, op10_chat_format)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -51,17 +51,26 @@ def pattern_votes(text: str, n_words: int, hit_words: int) -> list[float]:
 
 def mine(texts: list[str], labels: list[int]) -> list[str]:
     """Lexicon voters: entries that together cover each toxic text COVER times, best first."""
-    found = [{e for w in set(WORD.findall(t.lower())) for e in entries(w)} for t in texts]
+
+    def held(text: str) -> set[str]:
+        return {e for w in set(WORD.findall(text.lower())) for e in entries(w)}
+
+    # only entries of enough toxic texts are counted further, and no text's entries are kept
     toxic, clean = Counter(), Counter()
-    for own, label in zip(found, labels):
-        (toxic if label else clean).update(own)
+    for text, label in zip(texts, labels):
+        if label:
+            toxic.update(held(text))
     support = max(SUPPORT, SUPPORT_SHARE * sum(map(bool, labels)))
-    fit = {e for e, n in toxic.items() if n >= support and n >= PRECISION * (n + clean[e])}
+    toxic = {e: n for e, n in toxic.items() if n >= support}
+    for text, label in zip(texts, labels):
+        if not label:
+            clean.update(held(text) & toxic.keys())
+    fit = {e for e, n in toxic.items() if n >= PRECISION * (n + clean[e])}
     covers = defaultdict(list)
     need = []
-    for own, label in zip(found, labels):
+    for text, label in zip(texts, labels):
         if label:
-            for e in own & fit:
+            for e in held(text) & fit:
                 covers[e].append(len(need))
             need.append(COVER)
 
