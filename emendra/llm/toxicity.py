@@ -137,7 +137,7 @@ class Model:
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row; accuracy of each voter (chance to vote on toxic and on other rows); weight of its evidence.
 
-    A voter that is silent abstains, but for the last, whose silence votes for a clean text.
+    Silence counts as what it says about a text; the last voter, which says whether any has spoken, keeps its full weight.
     Voters that move together given the label share their evidence: a voter
     weighs one over the sum of its absolute correlations with all voters.
     """
@@ -155,7 +155,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
         weight[-1] = 1
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         z = math.log(prior / (1 - prior)) + votes @ (weight * np.log(rates[1] / rates[0]))
-        z += (1 - votes[:, -1]) * math.log((1 - rates[1, -1]) / (1 - rates[0, -1]))
+        z += (1 - votes) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return post, rates, weight
 
