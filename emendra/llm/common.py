@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,22 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and cut off from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one that the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only a
-    local session without that setting gets a folder of its own, as in tests.
+    Only a local session without that setting gets a folder of its own, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("No shared folder for checkpoints.\n\nCause: spark.checkpoint.dir is unset on a cluster.\n\nTo fix: name a folder that the driver and all executors share.")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emendra-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and cut off from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
     """`run` over the Arrow batches of each partition."""
     attach(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -53,3 +59,27 @@ def by_batch(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in out_schema], schema=out_schema)
 
     return map_arrow(df, run, schema)
+
+
+def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]], slice_rows: int = 256) -> DataFrame:
+    """Rows of `df` for whose `column` values `keep` says so; all columns pass through as they are."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.names.index(column)
+            for first in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(first, slice_rows)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return map_arrow(df, run, df.schema)
+
+
+def one_row_per(df: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows that agree in all `keys`; `df` should be dealt by these already."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    place = Window.partitionBy(*keys).orderBy(*keys)
+    return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")

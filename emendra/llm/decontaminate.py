@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch
+from emendra.llm.common import by_batch, filter_rows
 
 #: A-Z become a-z; every other ASCII character that is no letter or digit becomes a blank.
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -143,6 +143,13 @@ def hash_key(text: str | None) -> str:
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 1 << 26) -> DataFrame:
+    """Rows of `docs`, with all their columns, whose text holds no window of the benchmark."""
+    for block in benchmark_blocks(benchmark, window, block_chars):
+        docs = filter_rows(docs, "text", lambda texts, block=block: [not scan(t, _scanner(block))[1] for t in texts])
+    return docs
+
+
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) with windows of ten words."""
     hits = contamination(docs, benchmark)

@@ -9,10 +9,12 @@ that makes up a third of the corpus never meets in one task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from emendra.llm.common import by_batch, durable, map_arrow
 
@@ -47,6 +49,25 @@ def _summarise(counters: int, counted: bool):
     return run
 
 
+def text_digest(text: str | None) -> str:
+    """SHA-256 of a text with A-Z lower-cased; null counts as empty."""
+    return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").lower()).hexdigest()
+
+
+def with_digest(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """`docs` with all its columns, and the digest of its text as column `name`."""
+    schema = StructType([*docs.schema.fields, StructField(name, StringType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col))
+            yield batch.append_column(name, pa.array([text_digest(t.as_py()) for t in texts], pa.string()))
+
+    return map_arrow(docs, run, schema)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rid, text_sha256): SHA-256 of each text with A-Z lower-cased; a null text counts as empty.
 
@@ -54,9 +75,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def work(rows: dict) -> dict:
-        import hashlib
-
-        return {"doc_id": rows["doc_id"], "text_sha256": [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).hexdigest() for t in rows["text"]]}
+        return {"doc_id": rows["doc_id"], "text_sha256": [text_digest(t) for t in rows["text"]]}
 
     hashed = by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, text_sha256 string")
     return hashed.withColumn("rid", F.monotonically_increasing_id())

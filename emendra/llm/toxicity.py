@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch
+from emendra.llm.common import by_batch, filter_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can become voters.
@@ -219,6 +219,12 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     return by_batch(rows, work, SCORES)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """Rows of `docs`, with all their columns, whose text scores under `threshold`."""
+    voters, weights = tuple(model.voters), tuple(model.weights)
+    return filter_rows(docs, "text", lambda texts: [_model(voters, weights).score(t or "") < threshold for t in texts])
+
+
 _MODELS: dict = {}
 
 
