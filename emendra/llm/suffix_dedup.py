@@ -37,7 +37,7 @@ WINDOW, GRAM = 200, 48
 #: Bytes of text that are hashed at once, and of suffixes sorted into one run.
 BUFFER, RUN = 1 << 20, 24 << 20
 #: Different extents of a gram that are compared in one task, and up to which each two of them are.
-CROWD, FEW = 2048, 12
+CROWD, FEW = 50_000, 12
 #: Extents to a part of the exchange.
 PART_ENTRIES = 50_000
 #: Stands for a null id.
@@ -238,18 +238,31 @@ def shared_windows(group: list[tuple[int, tuple]], window: int = WINDOW) -> Iter
             for low, high in reach:
                 yield doc, pos, place + low, place + high + window
         return
-    whole = [(e[1][::-1] + e[0], e) for _, e in group]
-    seen: dict[bytes, bool] = {}
-    for text, _ in whole:
-        for at in range(len(text) - window + 1):
-            key = text[at : at + window]
-            seen[key] = key in seen
-    for text, (_, _, doc, pos, single) in whole:
-        if single:
-            place, before, _ = unpack(pos)
-            for at in range(len(text) - window + 1):
-                if seen[text[at : at + window]]:
-                    yield doc, pos, place - before + at, place - before + at + window
+    # all windows of the group by digest: 16 bytes each, so that a group of CROWD extents fits a task
+    from xxhash import xxh3_128_digest
+
+    digests, owners, firsts = bytearray(), [], []
+    for k, (_, (suffix, left, _, pos, _)) in enumerate(group):
+        text = left[::-1] + suffix
+        n = len(text) - window + 1
+        for at in range(n):
+            digests += xxh3_128_digest(text[at : at + window])
+        owners.append(np.full(n, k, np.int32))
+        firsts.append(np.arange(n, dtype=np.int64) + unpack(pos)[0] - len(left))
+    pairs = np.frombuffer(bytes(digests), dtype=[("a", "<u8"), ("b", "<u8")])
+    _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+    owner, first = np.concatenate(owners), np.concatenate(firsts)
+    single = np.array([e[4] for _, e in group], bool)
+    hit = (counts[inverse] > 1) & single[owner]
+    owner, first = owner[hit], first[hit]
+    if not len(owner):
+        return
+    # neighbouring windows of an extent make one range
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1] + 1)))
+    starts = np.flatnonzero(new)
+    lasts = np.append(starts[1:], len(owner)) - 1
+    for k, low, high in zip(owner[starts].tolist(), first[starts].tolist(), first[lasts].tolist()):
+        yield group[k][1][2], group[k][1][3], low, high + window
 
 
 def _merge_parts(window: int, gram: int):
@@ -357,7 +370,8 @@ def repeated_ranges(own: DataFrame, window: int = WINDOW, gram: int = GRAM, crow
     """(doc, tag, first, last): byte ranges covered by repeated windows; and the compressed texts (doc, tag, z) of `own` (doc, text)."""
     spark = own.sparkSession
     packed = map_arrow(own, _compressed, "doc long, tag int, z binary")
-    often = map_arrow(own, _anchor_rows(False, window, gram), "h long").groupBy("h").count().where("count > 1").select("h")
+    # written first, so that the join below has plain exchanges on both sides, whose hot parts can be split
+    often = durable(map_arrow(own, _anchor_rows(False, window, gram), "h long").groupBy("h").count().where("count > 1").select("h"))
     rows = map_arrow(own, _anchor_rows(True, window, gram), "h long, e long, doc long, pos long")
     found = durable(rows.join(often, "h", "left_semi"))
     kinds = durable(found.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("h", "e", "n", "at.doc", "at.pos"))
