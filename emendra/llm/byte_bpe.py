@@ -17,15 +17,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch
+from emendra.llm.common import by_batch, kept
 
 NONE = np.int64(1) << np.int64(60)
 #: Pre-tokens of up to this many bytes are encoded in matrix rows.
 SHORT = 64
 #: Trees in one matrix.
-ROWS = 16384
+ROWS = 8192
 #: Encoded pre-tokens that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 
 #: Letters and numbers assigned after Unicode 16.0. The tables of the tiktoken library, whose
@@ -201,14 +201,9 @@ class SegmentTreeBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[str, str], SegmentTreeBpe] = {}
-
-
 def encoder(ranks_path: str, pattern: str) -> SegmentTreeBpe:
     """The worker's encoder for these files, built once."""
-    if (ranks_path, pattern) not in _LOADED:
-        _LOADED[ranks_path, pattern] = SegmentTreeBpe(ranks_path, pattern)
-    return _LOADED[ranks_path, pattern]
+    return kept(("bpe", ranks_path, pattern), lambda: SegmentTreeBpe(ranks_path, pattern))
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +230,18 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return by_batch(encoded.select("doc_id", "n_tokens", "ids"), work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): `bpe_encode` and `bpe_decode` in one worker, so that ids needn't travel in between."""
+
+    def work(rows: dict) -> dict:
+        own = encoder(ranks_path, pattern)
+        ids = own.encode([t or "" for t in rows["text"]])
+        return {"doc_id": rows["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [own.decode(x) for x in ids]}
+
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids again, and digest both."""
-    both = bpe_decode(bpe_encode(docs, ranks_path, pattern), ranks_path, pattern)
+    both = bpe_round_trip(docs, ranks_path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -36,6 +36,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build: Callable):
+    """What a Python worker keeps between tasks: one automaton, model or encoder. Asking for another lets the last one go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
     """`run` over the Arrow batches of each partition."""
     attach(df.sparkSession)

@@ -17,14 +17,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch, filter_rows
+from emendra.llm.common import by_batch, filter_rows, kept
 
 #: A-Z become a-z; every other ASCII character that is no letter or digit becomes a blank.
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 HITS = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>"
-_SCANNERS: dict = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -40,8 +39,8 @@ def windows(words: list[bytes], size: int) -> list[bytes]:
 
 def _scanner(patterns: tuple):
     """The worker's automaton over " window " strings, built once; each pattern carries (words, items)."""
-    key = hash(patterns)
-    if key not in _SCANNERS:
+
+    def build():
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
@@ -49,9 +48,9 @@ def _scanner(patterns: tuple):
             automaton.add_word(f" {window} ", (window.count(" ") + 1, len(window) + 2, items))
         if patterns:
             automaton.make_automaton()
-        _SCANNERS.clear()
-        _SCANNERS[key] = automaton
-    return _SCANNERS[key]
+        return automaton
+
+    return kept(("windows", hash(patterns), len(patterns)), build)
 
 
 def scan(text: str | None, automaton) -> tuple[int, list[int], set[str], list[tuple[int, int]]]:

@@ -22,10 +22,10 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch, durable, map_arrow
+from emendra.llm.common import by_batch, durable, kept, map_arrow
 from emendra.llm.html_tree import Node, read
 
 #: Elements that never belong to the main text.
@@ -192,6 +192,12 @@ def cut(page: Node, paths: list[str]) -> str:
     return found
 
 
+def host_column(url: str) -> Column:
+    """`host_of` as a native expression."""
+    low = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", ""))
+    return F.regexp_extract(F.regexp_replace(low, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?", ""), r"^[^/?#]*", 0)
+
+
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0]
 
@@ -241,18 +247,16 @@ def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     return salted.groupBy("host").applyInPandas(_merge_group, schema).select("host", "wrapper")
 
 
-_PATHS: dict[str, list[str]] = {}
-
-
 def _paths_of(wrapper: str | None) -> list[str]:
     """Main paths of a wrapper; a worker remembers those it has seen."""
     if not wrapper:
         return []
-    if wrapper not in _PATHS:
-        if len(_PATHS) > 2000:
-            _PATHS.clear()
-        _PATHS[wrapper] = main_paths(json.loads(wrapper))
-    return _PATHS[wrapper]
+    known = kept(("wrappers",), dict)
+    if wrapper not in known:
+        if len(known) > 2000:
+            known.clear()
+        known[wrapper] = main_paths(json.loads(wrapper))
+    return known[wrapper]
 
 
 def extract_main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -267,14 +271,10 @@ def extract_main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> Data
     wrappers = durable(infer_wrappers(pages))
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
 
-    def hosts(rows: dict) -> dict:
-        return {"page_id": rows["page_id"], "url": rows["url"], "html": rows["html"], "host": [host_of(u) for u in rows["url"]]}
-
     def work(rows: dict) -> dict:
         texts = [cut(read(page), _paths_of(wrapper)) if page else "" for page, wrapper in zip(rows["html"], rows["wrapper"])]
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = by_batch(own, hosts, "page_id long, url string, html string, host string", 64)
-    joined = found.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
+    joined = own.withColumn("host", host_column("url")).join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
     return by_batch(joined.select("page_id", "url", "html", "wrapper"), work, "page_id long, url string, text string, n_chars long", 64)

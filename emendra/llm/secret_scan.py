@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emendra.llm.byte_dfa import Dfa, compile_dfa
-from emendra.llm.common import by_batch
+from emendra.llm.common import by_batch, kept
 
 
 @dataclass(frozen=True)
@@ -96,13 +96,8 @@ class Scanner:
         return found
 
 
-_SCANNERS: dict[tuple, Scanner] = {}
-
-
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+    return kept(("secrets", rules), lambda: Scanner(rules))
 
 
 def scan_text(text: str | None, rules: tuple[Rule, ...] = BASE + EXTRA) -> list[tuple[str, int, int]]:

@@ -12,7 +12,9 @@ All of it works on distinct fingerprints. A bucket of more than `bucket`
 fingerprints is not paired up; its members and those who probe it take an exact
 way instead: fingerprints are linked within two bits if and only if they share
 a fingerprint one flip away, so each names its 65 neighbours and all that name
-the same one are chained to the smallest. Work stays linear either way.
+the same one are chained to the smallest. Work stays linear either way. (At
+four bits they would name 2,081 each, so buckets that fit a task are searched
+there.)
 """
 
 from __future__ import annotations
@@ -164,10 +166,35 @@ def _buckets(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> tuple[Da
     return of(F.array(*index)), of(F.concat(*probe))
 
 
-def hamming_links(distinct: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
-    """Links (a, b) that join every two of the distinct fingerprints `fp` within `radius` (0 to 2) bits, directly or over others that are linked."""
-    if not 0 <= radius <= 2:
-        raise ValueError("radius must be 0, 1 or 2.\n\nCause: the way around large buckets is exact for up to two bits.\n\nTo fix: choose a smaller radius.")
+def _dense_links(radius: int):
+    """Links of one bucket of bounded size: a search from fingerprint to fingerprint that looks at each once, so there are fewer links than members."""
+
+    def run(pdf):
+        import pandas as pd
+
+        left = np.unique(pdf["fp"].to_numpy().astype(np.int64)).view(np.uint64)
+        found: list[tuple[int, int]] = []
+        while len(left):
+            root, todo, left = int(left[:1].view(np.int64)[0]), [left[0]], left[1:]
+            while todo and len(left):
+                near = np.bitwise_count(left ^ todo.pop()) <= radius
+                todo += list(left[near])
+                found += [(root, x) for x in left[near].view(np.int64).tolist()]
+                left = left[~near]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def hamming_links(distinct: DataFrame, radius: int = 2, bucket: int = 64, dense: int = 20_000) -> DataFrame:
+    """Links (a, b) that join every two of the distinct fingerprints `fp` within `radius` bits (0, 1, 2 or 4), directly or over others that are linked.
+
+    Buckets of up to `bucket` fingerprints are paired and verified. Above radius
+    2, those that up to `dense` fingerprints probe are searched in one task each;
+    all others take the way over shared neighbours.
+    """
+    if radius not in (0, 1, 2, 4):
+        raise ValueError("radius must be 0, 1, 2 or 4.\n\nCause: the way around large buckets is exact for these.\n\nTo fix: choose one of them.")
     n, together = bit_moments(distinct)
     plan = allocate(n, together, radius)
     index, probe = _buckets(distinct, plan)
@@ -176,14 +203,28 @@ def hamming_links(distinct: DataFrame, radius: int = 2, bucket: int = 64) -> Dat
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = cool.withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), ["part", "value"]).where(close & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # whoever is in a large bucket or probes one
-    crowd = probe.join(hot, ["part", "value"], "left_semi").select("fp").distinct()
-    step = [0] if radius == 0 else [0, *(_signed(1 << b) for b in range(BITS))]
+    crowd = probe.join(hot, ["part", "value"], "left_semi")
+    if radius > 2:
+        crowd = durable(crowd)
+        sizes = durable(crowd.groupBy("part", "value").count())
+        searched = crowd.join(sizes.where(F.col("count") <= dense), ["part", "value"], "left_semi")
+        pairs = pairs.unionByName(searched.groupBy("part", "value").applyInPandas(_dense_links(radius), "a long, b long"))
+        huge = sizes.where(F.col("count") > dense)
+        if huge.isEmpty():
+            return pairs.distinct()
+        crowd = crowd.join(huge, ["part", "value"], "left_semi")
+    return pairs.unionByName(_neighbour_links(crowd.select("fp").distinct(), radius)).distinct()
+
+
+def _neighbour_links(crowd: DataFrame, radius: int) -> DataFrame:
+    """Links of any number of fingerprints, over the ones half the radius away that they share."""
+    reach = (radius + 1) // 2
+    step = [_signed(sum(1 << b for b in chosen)) for k in range(reach + 1) for chosen in combinations(range(BITS), k)]
     around = crowd.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in step])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
     if radius == 1:
         around = around.where("fp = near").unionByName(around.where("fp != near").join(crowd.withColumnRenamed("fp", "near"), "near", "left_semi").select("fp", "near"))
     low = around.groupBy("near").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("near", "a")
-    chained = around.join(low, "near").where("fp != a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(chained).distinct()
+    return around.join(low, "near").where("fp != a").select("a", F.col("fp").alias("b"))
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket: int = 64) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch, filter_rows
+from emendra.llm.common import by_batch, filter_rows, kept
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can become voters.
@@ -115,7 +115,7 @@ class Model:
             own = known.get(word)
             if own is None:
                 own = tuple(place[e] for e in entries(word) if e in place)
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 known[word] = own
             if own:
@@ -225,13 +225,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return filter_rows(docs, "text", lambda texts: [_model(voters, weights).score(t or "") < threshold for t in texts])
 
 
-_MODELS: dict = {}
-
-
 def _model(voters: tuple, weights: tuple) -> Model:
     """The worker's model, with what it remembers about words."""
-    key = (voters, weights)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(list(voters), list(weights))
-    return _MODELS[key]
+    return kept(("toxicity", voters, weights), lambda: Model(list(voters), list(weights)))

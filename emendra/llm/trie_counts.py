@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emendra.llm.byte_bpe import splitter
-from emendra.llm.common import by_batch
+from emendra.llm.common import by_batch, kept
 
 COUNTS = "doc_id long, n_pretokens long, n_tokens long, score double"
 #: Trie nodes and pre-tokens that a worker keeps before it starts anew.
@@ -95,9 +95,6 @@ class TrieCounter:
         return [(len(own), sum(map(counts.__getitem__, own)), math.fsum(map(totals.__getitem__, own))) for own in words]
 
 
-_COUNTERS: dict[tuple[str, str], TrieCounter] = {}
-
-
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, score): pre-tokens, unigram pieces and their total score in each whole text.
 
@@ -107,9 +104,8 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def work(rows: dict) -> dict:
-        if (ranks_path, pattern) not in _COUNTERS:
-            _COUNTERS[ranks_path, pattern] = TrieCounter(ranks_path, pattern)
-        found = _COUNTERS[ranks_path, pattern].count([t or "" for t in rows["text"]])
+        counter = kept(("trie", ranks_path, pattern), lambda: TrieCounter(ranks_path, pattern))
+        found = counter.count([t or "" for t in rows["text"]])
         return {"doc_id": rows["doc_id"], "n_pretokens": [x[0] for x in found], "n_tokens": [x[1] for x in found], "score": [x[2] for x in found]}
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, COUNTS)

@@ -92,5 +92,6 @@ def test_large_wrappers_are_pruned(monkeypatch):
 
 
 @pytest.mark.parametrize("url,host", [(None, ""), ("https://A.b/c", "a.b"), ("http://u:p@x.y:8080?q", "x.y:8080"), ("x.y/z", "x.y"), ("ftp://q#f", "q")])
-def test_hosts(url, host):
+def test_hosts(spark, url, host):
     assert W.host_of(url) == host
+    assert spark.createDataFrame([(url,)], "url string").select(W.host_column("url")).first()[0] == host

@@ -49,7 +49,7 @@ def clustered(seed, groups, copies):
     return [x - (1 << 64) if x >= 1 << 63 else x for x in found]
 
 
-@pytest.mark.parametrize("radius,bucket", [(2, 64), (2, 2), (1, 2), (0, 2)])
+@pytest.mark.parametrize("radius,bucket", [(2, 64), (2, 2), (1, 2), (0, 2), (4, 64), (4, 2)])
 def test_links_equal_brute_force(spark, radius, bucket):
     values = clustered(7, 12, 20)
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
@@ -58,6 +58,13 @@ def test_links_equal_brute_force(spark, radius, bucket):
     assert got == brute_components(values, radius)
 
 
+def test_buckets_beyond_a_task(spark):
+    values = clustered(5, 3, 12)
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    nodes = {r.node: r.component for r in connected_components(simhash.hamming_links(frame, 4, 2, dense=3)).collect()}
+    assert {v: nodes.get(v, v) for v in values} == brute_components(values, 4)
+
+
 def test_allocation_keeps_the_pigeonhole_sum():
     rng = np.random.default_rng(1)
     for n in (10, 10**5, 10**9):

@@ -72,6 +72,8 @@ def test_bpe_equals_the_public_library(spark):
         assert got[k].n_tokens == len(ids)
         assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[k].decoded_sha256 == sha(text or "")
+    apart = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.decoded) for r in apart.collect()} == {k: (t or "").encode() for k, t in enumerate(texts)}
     assert byte_bpe.bpe_digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
