@@ -51,8 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): token ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-    pattern = public_tokenizers.PATTERN
-    coded = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, RANKS, pattern), RANKS, pattern)
+    coded = byte_bpe.bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
