@@ -213,3 +213,24 @@ def html_section(name: str = "path", stats: str = "stats", shown: str = "markdow
     net = F.concat(F.when(s["chars_net_change"] >= 0, F.lit("+")).otherwise(F.lit("")), s["chars_net_change"].cast("string"), F.lit(" chars"))
     figures = [figure("Insertions", s["insertions"]), figure("Deletions", s["deletions"]), figure("Replacements", s["replacements"]), figure("Change Ratio", s["change_ratio"]), figure("Net Change", net)]
     return F.concat(F.lit('<div class="file"><div class="file-header"><h3>'), F.col(name), F.lit("</h3>"), badge, F.lit('</div><div class="file-stats">'), *figures, F.lit("</div>"), body, F.lit("</div>"))
+
+
+REPORT_HEAD = """<!DOCTYPE html>
+<html lang="en"><head><meta charset="utf-8"><title>Comparison report</title>
+<style>body{font-family:sans-serif;margin:2em}.file{border:1px solid #ccc;margin:1em 0;padding:1em}.stat{display:inline-block;margin-right:1.5em}.stat-label{color:#777;margin-right:.4em}
+.badge{padding:.1em .5em;border-radius:3px}.badge-success{background:#cfc}.badge-warning{background:#fec}ins{background:#dfd}del{background:#fdd}</style></head><body>
+"""
+
+
+def write_report(sections: DataFrame, summary: DataFrame, path: str, column: str = "section", order: str = "path") -> None:
+    """An HTML report as a folder of text parts in order: the head with the summary, then a section for each file.
+
+    `summary` is the one row of `report_summary`; sections are written where
+    they are made, so a report may cover any number of files.
+    """
+    total = summary.first().asDict()
+    head = REPORT_HEAD + "<h1>Comparison report</h1><ul>" + "".join(f"<li>{k.replace('_', ' ')}: {v}</li>" for k, v in total.items()) + "</ul>"
+    spark = sections.sparkSession
+    ends = spark.createDataFrame([(0, "", head), (2, "", "</body></html>")], "part int, name string, value string")
+    body = sections.select(F.lit(1).alias("part"), F.col(order).cast("string").alias("name"), F.regexp_replace(column, "\n", "<br>").alias("value"))
+    ends.unionByName(body).orderBy("part", "name").select("value").write.text(path)

@@ -111,3 +111,17 @@ def test_streams(spark, tmp_path):
     query = counted.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.pairs, r.changes) for r in spark.table("windows").collect()] == [(3, 3)]
+
+
+def test_html_report(spark, tmp_path):
+    from emendra.functions import changes as C
+    from emendra.functions import render as R
+    from emendra.operators.diff import diff_pairs
+
+    pairs = spark.createDataFrame([("b.txt", FOX, WALKS), ("a.txt", FOX, FOX)], "path string, source string, test string")
+    found = C.with_changes(diff_pairs(pairs)).withColumn("stats", C.stats()).withColumn("markdown", R.markdown("none"))
+    sections = found.withColumn("section", R.html_section())
+    R.write_report(sections, P.report_summary(found), str(tmp_path / "report"))
+    page = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</html>")
+    assert page.index("a.txt") < page.index("b.txt") and "Files are identical" in page and "<ins>walks past </ins>" in page and "total changes: 1" in page
