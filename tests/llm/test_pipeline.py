@@ -40,7 +40,7 @@ def test_stages_equal_a_plain_version(spark, folder):
     kept = {}
     for k in sorted(left):
         # in these texts no group is linked over a third document only
-        if not any(bin(prints[k] ^ prints[j]).count("1") <= 2 for j in kept):
+        if not any(bin(prints[k] ^ prints[j]).count("1") <= corpus_pipeline.RADIUS for j in kept):
             kept[k] = left[k]
     kept = {k: t for k, t in kept.items() if question not in t}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, out).collect()}
