@@ -17,6 +17,8 @@ from emendra.llm.common import one_row_per, shared_folder, table
 
 #: Stands for a null id in joins.
 NO_ID = -(1 << 63)
+#: Bits in which near copies may differ.
+RADIUS = 4
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -38,8 +40,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash, the one with the smallest id. Rows that share an id count as one document."""
-    classes = simhash.simhash_classes(docs)
+    """One document of each group linked by SimHash, the one with the smallest id. Rows that share an id count as one document.
+
+    Links are wider here than those of the operator's query: edited copies differ in more than two bits as a rule.
+    """
+    classes = simhash.simhash_classes(docs, radius=RADIUS)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
     return one_row_per(_keyed(docs).join(first, "_id", "left_semi"), "_id").select(docs.columns)
 
