@@ -118,6 +118,7 @@ def _within(n: int, share: np.ndarray, group: list[int], effective: float, t: in
 def allocate(n: int, together: np.ndarray, radius: int, probe_cost: float = 1.0, verify_cost: float = 0.3, most_parts: int = 6) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, of least estimated cost."""
     share = np.diag(together) / max(n, 1)
+    n = max(n, 1000)  # few fingerprints must not make enumerating all their neighbours look cheap
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, most_parts + 1):
         groups, effective = grouped_bits(n, together, parts)
@@ -125,6 +126,8 @@ def allocate(n: int, together: np.ndarray, radius: int, probe_cost: float = 1.0,
         def cost(i: int, t: int) -> float:
             if t < 0:
                 return 0.0
+            if t > 2:
+                return float("inf")
             signatures = sum(comb(len(groups[i]), k) for k in range(t + 1))
             return n * signatures * probe_cost + n * n * _within(n, share, groups[i], effective[i], t) * verify_cost
 
