@@ -118,7 +118,10 @@ def _within(n: int, share: np.ndarray, group: list[int], effective: float, t: in
 def allocate(n: int, together: np.ndarray, radius: int, probe_cost: float = 1.0, verify_cost: float = 0.3, most_parts: int = 6) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, of least estimated cost."""
     share = np.diag(together) / max(n, 1)
-    n = max(n, 1000)  # few fingerprints must not make enumerating all their neighbours look cheap
+    # planned for a corpus ten times as large: candidates grow with its square and signatures in proportion, so a plan
+    # that is only just cheapest now would soon change for one with many more signatures; nor must few fingerprints
+    # make enumerating all their neighbours look cheap
+    planned = max(10 * n, 10_000)
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, most_parts + 1):
         groups, effective = grouped_bits(n, together, parts)
@@ -129,7 +132,7 @@ def allocate(n: int, together: np.ndarray, radius: int, probe_cost: float = 1.0,
             if t > 2:
                 return float("inf")
             signatures = sum(comb(len(groups[i]), k) for k in range(t + 1))
-            return n * signatures * probe_cost + n * n * _within(n, share, groups[i], effective[i], t) * verify_cost
+            return planned * signatures * probe_cost + planned * planned * _within(planned, share, groups[i], effective[i], t) * verify_cost
 
         # cheapest[s]: thresholds of the partitions so far that sum to s
         cheapest: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
