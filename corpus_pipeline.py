@@ -12,12 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emendra.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
+from emendra.llm import byte_bpe, decontaminate, exact_dedup, near_copies, toxicity
 from emendra.llm.common import one_row_per, shared_folder, table
 
 #: Stands for a null id in joins.
 NO_ID = -(1 << 63)
-#: Bits in which near copies may differ.
+#: Bits within which fingerprints counted as near copies before; tests compare by it, no stage does.
 RADIUS = 4
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -40,13 +40,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash, the one with the smallest id. Rows that share an id count as one document.
+    """One document of each group of near copies, the one with the smallest id; null ids come last.
 
-    Links are wider here than those of the operator's query: edited copies differ in more than two bits as a rule.
+    Near copies have a five-word Jaccard similarity of 0.8 or more, directly or
+    over others. Fingerprints of SimHash neither reach all of these nor only these.
     """
-    classes = simhash.simhash_classes(docs, radius=RADIUS)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    return one_row_per(_keyed(docs).join(first, "_id", "left_semi"), "_id").select(docs.columns)
+    classes = near_copies.near_copy_classes(docs)
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("first"))
+    winners = first.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.sha").alias("_sha"))
+    kept = _keyed(exact_dedup.with_digest(docs, "_sha")).join(winners, ["_id", "_sha"], "left_semi")
+    return one_row_per(kept, "_id", "_sha").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
