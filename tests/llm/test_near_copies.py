@@ -59,3 +59,9 @@ def test_stage_links_by_similarity_alone(spark):
     shorter = [(k, " ".join(["same", "words", "here", "for", "ever"] * n)) for k, n in ((1, 1), (2, 40))]
     # 1 of 5 shingles in common
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, shorter), "").collect()} == {1, 2}
+
+
+def test_rows_without_id_or_with_one_id_stay_apart(spark):
+    rows = [(None, "one text of its own"), (None, "quite another text here"), (7, "a third text stands here"), (7, "and a fourth one too"), (8, "A third  text stands here")]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()
+    assert sorted(r.text for r in kept) == sorted(t for k, t in rows if k != 8)
