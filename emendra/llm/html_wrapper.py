@@ -47,9 +47,10 @@ KEY, OPTIONAL, REPEATED, PAGES, REST = range(5)
 
 
 def key_of(node: Node) -> str:
-    """A node's name in a wrapper: its tag, and its classes without digits."""
-    names = re.sub(r"[^a-z\s_-]+", "", node.names).split()[:2] if node.names else []
-    return ".".join([node.tag, *names])
+    """A node's name in a wrapper: its tag, and its first two classes without digits; of the others the first that marks boilerplate and the first that marks main text."""
+    names = re.sub(r"[^a-z\s_-]+", "", node.names).split() if node.names else []
+    marks = [next(filter(kind.search, names[2:]), None) for kind in (BOILERPLATE_NAMES, MAIN_NAMES)] if len(names) > 2 else []
+    return ".".join([node.tag, *names[:2], *dict.fromkeys(filter(None, marks))])
 
 
 def expression(node: Node) -> list:

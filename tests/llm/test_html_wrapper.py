@@ -95,3 +95,10 @@ def test_large_wrappers_are_pruned(monkeypatch):
 def test_hosts(spark, url, host):
     assert W.host_of(url) == host
     assert spark.createDataFrame([(url,)], "url string").select(W.host_column("url")).first()[0] == host
+
+
+def test_later_names_mark_boilerplate_and_main_text():
+    said = "the story goes on and on " * 10
+    page = read(f"<body><div class='wide box article-body'><p>{said}</p><div class='col-md-12 mt-4 comments'>a comment</div><section class='post-section wide' id='comments'>another</section></div><div class='row wide sidebar'>{said * 9}</div></body>")
+    paths = W.main_paths(W.expression(page))
+    assert W.cut(page, paths) == said.strip()
