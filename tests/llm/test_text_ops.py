@@ -160,6 +160,26 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.contamination_digests(docs.limit(0), empty).count() == 0
 
 
+def test_decontamination_gives_the_same_rows_for_any_block_size(spark):
+    """Repeated rows, null and shared ids, a benchmark row without id, and a very long item and text."""
+    words = [f"w{k}" for k in range(400)]
+    long = " ".join(words)
+    rows = [(1, "x " + " ".join(words[:12]))] * 3 + [(None, long), (None, long), (None, "clean"), (5, "stray item"), (5, "y y"), (6, " ".join(words[5:14])), (7, "a " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, long), (2, " ".join(words[2:13])), (None, "stray item"), (3, "one two three"), (4, "a " * 300)], "item_id long, text string")
+    got = []
+    for block_chars in (700, 1 << 22):
+        found = decontaminate.contamination(docs, benchmark, 10, block_chars).collect()
+        got.append(sorted(map(str, found)))
+        kept = decontaminate.keep_uncontaminated(docs, benchmark, 10, block_chars).collect()
+        assert sorted(map(tuple, kept), key=str) == [(5, "y y"), (6, " ".join(words[5:14])), (None, "clean")]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    by_text = {r.n_words: r for r in found}
+    assert (by_text[13].n_hit, by_text[13].item_ids) == (12, ["1", "2"])
+    assert by_text[400].n_hit == 400 and by_text[5000].n_hit == 5000
+    assert [(r.n_hit, r.item_ids) for r in found if r.doc_id == 5 and r.n_hit] == [(2, [])]
+
+
 # --- chat formatting
 
 
