@@ -66,6 +66,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_RE2 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _either_case(pattern: str) -> str:
+    """A pattern with each letter in either case spelt out, as case folding would go beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+#: Pattern and condition (on m, a match) of each kind of secret, in order; the kinds after the third are the method's own.
+SECRETS = {
+    "assign": ("(" + _either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '{pattern}', 2)) >= 8"),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 16"),
+    "hex": ("[0-9a-f]+", "length(m) >= 32"),
+    "github": ("gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    "slack": ("xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----+", "true"),
+}
+
+
+def _secret_matches(order: int, kind: str) -> str:
+    """SQL for (rid, o, kind, a, b): all matches of a kind; they alternate with the pieces between them."""
+    pattern = SECRETS[kind][0].replace("'", "''")
+    return f"""SELECT rid, {order} AS o, '{kind}' AS kind, a, a + length(m) AS b FROM (
+            SELECT rid, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a
+            FROM (SELECT rid, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+                SELECT rid, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM t)))
+        WHERE {SECRETS[kind][1].format(pattern=pattern)}"""
+
+
 def _escaped_length(column: str) -> str:
     """SQL for the length of an escaped text: a backslash more for each backslash and each control string."""
     extra = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *chat_format.CONTROLS))
@@ -78,6 +104,14 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op7_secret_scan": f"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS MATERIALIZED ({" UNION ALL ".join(_secret_matches(k, kind) for k, kind in enumerate(SECRETS))}),
+        g AS (SELECT rid, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2,
+                     string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, o) AS spans,
+                     string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, o) FILTER (o < 3) AS base FROM m GROUP BY rid)
+        SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN g USING (rid)""",
     "op8_decontaminate": f"""
         WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RE2}') AS ws FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RE2}') AS ws FROM benchmark),
@@ -87,7 +121,7 @@ ORACLE_SQL = {
             SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
         h AS MATERIALIZED (SELECT doc_id, i, o.n, item_id FROM o JOIN w USING (n, win)),
         k AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
-        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        t AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",

@@ -1,9 +1,13 @@
 """Secret scanning with one combined deterministic automaton.
 
 All rules are compiled together by subset construction and minimisation into
-transition arrays, so that one pass over a text's bytes tells which rules match
-anywhere in it. For the few rules that do, exact spans (leftmost, longest, not
-overlapping) follow from a backward pass that marks where matches begin.
+transition arrays. The automaton reads a text backwards, so that one pass over
+its bytes tells for all rules at once where their matches begin. From there
+spans follow (leftmost, longest, not overlapping), for which only the bytes of
+matches are looked at again.
+
+Patterns are over ASCII: "letters in either case" are A-Z and a-z, not the long
+s or the Kelvin sign, which some expression libraries fold to s and k.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ class Rule:
         return f"{self.prefix}{self.value}+"
 
     @property
-    def screen(self) -> str:
-        """Occurs wherever a match that is long enough occurs; counts only where no prefix is rare enough, as counters multiply states."""
+    def begins(self) -> str:
+        """Matches from wherever a match that is long enough begins; counts only where no prefix is rare enough, as counters multiply states."""
         return f"{self.prefix}{self.value}" if self.prefix else f"{self.value}{{{self.least}}}"
 
 
@@ -57,42 +61,36 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.all: Dfa = compile_dfa([r.screen for r in rules], anywhere=True)
+        self.all: Dfa = compile_dfa([r.begins for r in rules], anywhere=True, backwards=True)
         self.own = [compile_dfa([r.pattern], anywhere=False) for r in rules]
-        self.back = [compile_dfa([r.pattern], anywhere=True, backwards=True) for r in rules]
         self.prefix = [compile_dfa([r.prefix], anywhere=False) if r.prefix else None for r in rules]
 
-    def matching(self, data: bytes) -> int:
-        """Bits of the rules that may match somewhere: the one pass over all bytes."""
+    def beginnings(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bits of the rules that begin there), last place first: the one pass over all bytes."""
         dfa = self.all
-        state, table, final, bits = dfa.start, dfa.table, dfa.first_final, 0
-        for byte in data:
+        state, table, final, rules = dfa.start, dfa.table, dfa.first_final, dfa.rules
+        found = []
+        at = len(data)
+        for byte in reversed(data):
+            at -= 1
             state = table[state + byte]
             if state >= final:
-                bits |= dfa.rules[state]
-        return bits
+                found.append((at, rules[state]))
+        return found
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(rule, start, end) in bytes: leftmost, longest and not overlapping for each rule; too short matches are dropped."""
         found = []
-        bits = self.matching(data)
-        for k, rule in enumerate(self.rules):
-            if not bits >> k & 1:
-                continue
-            back, own, prefix = self.back[k], self.own[k], self.prefix[k]
-            state, table, starts = back.start, back.table, []
-            for at in range(len(data) - 1, -1, -1):
-                state = table[state + data[at]]
-                if state >= back.first_final:
-                    starts.append(at)
-            done = 0
-            for start in reversed(starts):
-                if start < done:
+        done = [0] * len(self.rules)
+        for start, bits in reversed(self.beginnings(data)):
+            for k, rule in enumerate(self.rules):
+                if not bits >> k & 1 or start < done[k]:
                     continue
-                done = own.longest(data, start)
+                done[k] = self.own[k].longest(data, start)
+                prefix = self.prefix[k]
                 value = prefix.longest(data, start) if prefix else start
-                if done - value >= rule.least:
-                    found.append((k, start, done))
+                if done[k] - value >= rule.least:
+                    found.append((k, start, done[k]))
         return found
 
 
@@ -122,7 +120,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
     """(doc_id, spans): the secrets in each whole text, in code points, end exclusive, by start and rule.
 
     Spans of different kinds may overlap. Null and empty texts have no spans;
-    repeated rows give repeated results; further columns are ignored.
+    repeated rows give repeated results; an empty table gives an empty result;
+    further columns are ignored.
     """
 
     def work(rows: dict) -> dict:
