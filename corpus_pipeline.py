@@ -13,43 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emendra.llm import byte_bpe, decontaminate, exact_dedup, near_copies, toxicity
-from emendra.llm.common import one_row_per, shared_folder, table
+from emendra.llm.common import one_row_per, own_names, shared_folder, table
 
-#: Stands for a null id in joins.
-NO_ID = -(1 << 63)
-#: Bits within which fingerprints counted as near copies before; tests compare by it, no stage does.
-RADIUS = 4
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict to be toxic."""
     model = toxicity.fit_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
+def _one_of_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row of `docs` for each of `winners` (doc_id, sha: the digest of the text); null ids are equal here."""
+    id_, sha = own_names(docs, "id", "sha")
+    keyed = exact_dedup.with_digest(docs, sha).withColumn(id_, F.col("doc_id").cast("string"))
+    chosen = winners.select(F.col("doc_id").cast("string").alias("id"), "sha")
+    kept = keyed.join(chosen, keyed[id_].eqNullSafe(chosen["id"]) & (keyed[sha] == chosen["sha"]), "left_semi")
+    return one_row_per(kept, id_, sha).select(docs.columns)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text that is equal after lower-casing A-Z: the one with the largest id."""
-    winners = exact_dedup.exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = _keyed(exact_dedup.with_digest(docs, "_sha")).join(winners, ["_id", "_sha"], "left_semi")
-    return one_row_per(kept, "_id", "_sha").select(docs.columns)
+    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept")
+    return _one_of_each(docs, kept.select("doc_id", F.col("text_sha256").alias("sha")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; null ids come last.
 
     Near copies have a five-word Jaccard similarity of 0.8 or more, directly or
-    over others. Fingerprints of SimHash neither reach all of these nor only these.
+    over others. SimHash finds most; an exact join finds those that are further
+    apart than its radius; all are verified.
     """
-    classes = near_copies.near_copy_classes(docs)
+    classes = near_copies.near_copy_classes(docs.select("doc_id", "text"))
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("first"))
-    winners = first.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.sha").alias("_sha"))
-    kept = _keyed(exact_dedup.with_digest(docs, "_sha")).join(winners, ["_id", "_sha"], "left_semi")
-    return one_row_per(kept, "_id", "_sha").select(docs.columns)
+    return _one_of_each(docs, first.select("first.doc_id", "first.sha"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

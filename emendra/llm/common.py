@@ -87,10 +87,20 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]],
     return map_arrow(df, run, df.schema)
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns to add, none of which `df` has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{w}" in taken for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def one_row_per(df: DataFrame, *keys: str) -> DataFrame:
     """One of the rows that agree in all `keys`; `df` should be dealt by these already."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    (number,) = own_names(df, "place")
     place = Window.partitionBy(*keys).orderBy(*keys)
-    return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return df.withColumn(number, F.row_number().over(place)).where(F.col(number) == 1).drop(number)

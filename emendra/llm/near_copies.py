@@ -1,33 +1,50 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A set-similarity join with prefixes: in any one order of all shingles, two sets
-that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of
-each. Shingles of rare cells of a counting sketch come first, so that common
-lines bring few texts together; the sketch decides the cost, never the result.
-Follows Bayardo, Ma and Srikant, "Scaling Up All Pairs Similarity Search" (2007).
-Every candidate is verified on its whole sets.
+Candidates come from two searches, and every one is verified on its whole sets:
+
+1. SimHash fingerprints of the five-word shingles within two bits, by the
+   generalised pigeonhole search of `simhash`. It finds most copies with small
+   edits at little cost, but at a similarity of 0.8 fingerprints differ in some
+   ten of 64 bits, a radius at which no partition of the bits is selective.
+2. What lies beyond that radius: a set-similarity join with prefixes. In any one
+   order of all shingles, two sets that are similar enough share a shingle among
+   the first n - ceil(0.8 n) + 1 of each. Shingles of rare cells of a counting
+   sketch come first, so that common lines bring few texts together; the sketch
+   decides the cost, never the result. Follows Bayardo, Ma and Srikant, "Scaling
+   Up All Pairs Similarity Search" (2007).
 
 Texts that share a shingle are paired up in groups of up to `group`. In a larger
 group each is compared to one of the group, in rounds; groups that have fallen
 into one component are done, and only texts in different ones are paired up in
-the end. So a large group of near copies costs a few comparisons a text.
+the end. So a large group of near copies costs a few comparisons a text. A
+shingle of very many texts is dealt to several tasks.
+
+Pairs are screened by size and by 512 parity bits before their sets are made;
+only texts of pairs that pass are read for that.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emendra.llm.common import by_batch, durable, map_arrow
 from emendra.llm.components import connected_components
 from emendra.llm.exact_dedup import text_digest
+from emendra.llm.simhash import fingerprint, hamming_links
 
 SHINGLE = 5
-CELLS = 1 << 18
+#: Least and most cells of the counting sketch; it has one for about every four texts between these.
+CELLS, MOST_CELLS = 1 << 14, 1 << 22
+#: Rows of one shingle in a task, about.
+SALTED = 20_000
+#: 64-bit words of the parity bits.
+PARITY = 8
+#: Node ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+ASKED = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -35,9 +52,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def node_of(words: list[bytes]) -> int:
-    """64 bits that stand for a text's words."""
-    return int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:8], "little", signed=True)
+def node_column(text: str = "text") -> Column:
+    """64 bits that stand for a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -63,57 +80,83 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def _cell(found: np.ndarray, cells: int) -> np.ndarray:
+    return (found >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of which a similar set shares one: the first of the order (count of the cell, hash)."""
     first = len(found) - -(-4 * len(found) // 5) + 1 if len(found) else 0
-    return found[np.lexsort((found, counts[(found >> np.uint64(46)).astype(np.int64)]))[:first]]
+    return found[np.lexsort((found, counts[_cell(found, len(counts))]))[:first]]
 
 
-def _counted(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            np.add.at(total, (shingles(words_of(text.as_py())) >> np.uint64(46)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+def cell_counts(texts: DataFrame, cells: int) -> np.ndarray:
+    """How many shingles of all texts fall into each cell of the sketch."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def cell_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all texts fall into each cell of the sketch."""
-    counts = np.zeros(CELLS, np.int64)
-    for row in map_arrow(docs.select("text"), _counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(words_of(t)) for t in batch.column(0).slice(at, 256).to_pylist()]
+                total += np.bincount(_cell(np.concatenate(sets), cells), minlength=cells)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+
+    counts = np.zeros(cells, np.int64)
+    for row in map_arrow(texts.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.cell] = row.n
     return counts
 
 
+PREFIXES = "token long, salt int, node long, size int, rest int"
+
+
 def _prefixes(counts: np.ndarray):
+    """Rows of each text's prefix: `rest` shingles from this one on; `salt` deals out shingles of crowded cells, -1: not crowded."""
+    salts = np.maximum(0, counts - 2 * int(counts.mean())) // SALTED
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                sets = [(node_of(w), shingles(w)) for w in map(words_of, batch.column(0).slice(at, 64).to_pylist())]
-                first = [prefix(s, counts) for _, s in sets]
+                rows = batch.slice(at, 64)
+                sets = [shingles(words_of(t)) for t in rows.column(1).to_pylist()]
+                first = [prefix(s, counts) for s in sets]
                 n = [len(x) for x in first]
-                if sum(n):
-                    token = np.concatenate(first).view(np.int64)
-                    size = np.repeat(np.array([len(s) for _, s in sets], np.int32), n)
-                    rest = size - np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                    yield pa.RecordBatch.from_pydict({"token": token, "node": np.repeat(np.array([k for k, _ in sets], np.int64), n), "size": size, "rest": rest})
+                if not sum(n):
+                    continue
+                token = np.concatenate(first)
+                node = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), n)
+                size = np.repeat(np.array([len(s) for s in sets], np.int32), n)
+                rest = size - np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                salt = salts[_cell(token, len(counts))]
+                salt = np.where(salt > 0, (node.view(np.uint64) % np.maximum(salt, 1).astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "salt": salt, "node": node, "size": size, "rest": rest})
 
     return run
 
 
+FOUND = "a long, b long, large int, rest int"
+
+
 def _paired(group: int):
-    """Pairs of each run of equal tokens: all in runs of up to `group` nodes, else one to all others; the rows of such runs follow with `large`."""
+    """Pairs of each run of equal tokens and salts: all in runs of up to `group` nodes, else one to all others.
+
+    The rows of larger and of salted runs follow as (token, node, size, rest),
+    the size in `large`, which is 0 for pairs.
+    """
 
-    def of_run(token: int, node: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[tuple]:
+    def of_run(token: int, salted: bool, node: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[tuple]:
         node, at = np.unique(node, return_index=True)
         size, rest = size[at].astype(np.int64), rest[at].astype(np.int64)
+        out = []
+        if salted or len(node) > group:
+            out.append((np.full(len(node), token, np.int64), node, size.astype(np.int32), rest.astype(np.int32)))
         if len(node) < 2:
-            return []
+            return out
         if len(node) <= group:
             a, b = np.triu_indices(len(node), 1)
         else:
@@ -124,61 +167,67 @@ def _paired(group: int):
         # the first shingle that two share leaves no more than the rest from there to share
         fits = 9 * np.minimum(rest[a], rest[b]) >= 4 * (size[a] + size[b])
         a, b = node[a[fits]], node[b[fits]]
-        out = [(np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32))]
-        if len(node) > group:
-            out.append((np.full(len(node), token, np.int64), node, size.astype(np.int32), rest.astype(np.int32)))
-        return out
+        return [*out, (np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32))]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def made(found: list[tuple]) -> pa.RecordBatch:
+        held: list[tuple] = []
+        waiting = 0
+
+        def made(pieces: list[tuple]) -> Iterator:
+            """All runs of rows that come in order."""
+            token, salt, node, size, rest = [np.concatenate(x) for x in zip(*pieces)]
+            edges = np.flatnonzero((token[1:] != token[:-1]) | (salt[1:] != salt[:-1])) + 1
+            starts = np.concatenate([[0], edges, [len(token)]])
+            found: list[tuple] = []
+            rows = 0
+            for k in np.flatnonzero((np.diff(starts) > 1) | (salt[starts[:-1]] >= 0)).tolist():
+                x, y = starts[k], starts[k + 1]
+                found += of_run(int(token[x]), salt[x] >= 0, node[x:y], size[x:y], rest[x:y])
+                rows += y - x
+                if rows > 50_000:
+                    yield batch_of(found)
+                    found, rows = [], 0
+            if found:
+                yield batch_of(found)
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
             rows = np.unique(np.rec.fromarrays([np.concatenate(x) for x in zip(*found)], names="a,b,large,rest"))
             return pa.RecordBatch.from_pydict({k: np.ascontiguousarray(rows[k]) for k in rows.dtype.names})
 
-        held: list[tuple] = []
         for batch in batches:
-            columns = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            ends = np.flatnonzero(np.diff(columns[0])) + 1
-            if held and held[0][0][0] == columns[0][0] and not len(ends):
-                held.append(columns)
+            if not batch.num_rows:
                 continue
-            # runs that are over; the last may go on in the next batch
-            if held and held[0][0][0] != columns[0][0]:
-                ends = np.concatenate([[0], ends])
-            if not len(ends):
-                held = [columns]
+            columns = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            held.append(columns)
+            waiting += batch.num_rows
+            if waiting < 100_000:
                 continue
-            over = [np.concatenate(x) for x in zip(*held, tuple(c[: ends[-1]] for c in columns))]
-            held = [tuple(c[ends[-1] :] for c in columns)]
-            yield from emit(over, made)
-        if held:
-            yield from emit([np.concatenate(x) for x in zip(*held)], made)
-
-    def emit(columns: list, made) -> Iterator:
-        token, node, size, rest = columns
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        found: list[tuple] = []
-        held = 0
-        for k in np.flatnonzero(np.diff(starts) > 1).tolist():
-            x, y = starts[k], starts[k + 1]
-            found += of_run(int(token[x]), node[x:y], size[x:y], rest[x:y])
-            held += y - x
-            if held > 50_000 and found:
-                yield made(found)
-                found, held = [], 0
-        if found:
-            yield made(found)
+            # the last run may go on in the next batch
+            last = columns[0][-1], columns[1][-1]
+            open_ = [((c[0] == last[0]) & (c[1] == last[1])) for c in held]
+            over = [tuple(x[~o] for x in c) for c, o in zip(held, open_)]
+            held = [tuple(x[o] for x in c) for c, o in zip(held, open_)]
+            waiting = 0
+            if sum(len(c[0]) for c in over):
+                yield from made(over)
+        if held and sum(len(c[0]) for c in held):
+            yield from made(held)
 
     return run
 
 
 def parities(found: np.ndarray) -> list[int]:
-    """256 bits, each whether an odd number of the shingles falls to it: two sets differ in as many shingles as bits at least."""
-    odd = np.bincount((found >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """512 bits, each whether an odd number of the shingles falls to it: two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((found >> np.uint64(7) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+#: Whether two texts (size, bits) and (m, odd) may be similar: their sets differ in no more than a ninth of both sizes.
+MAY_BE = "9 * (" + " + ".join(f"bit_count(bits[{k}] ^ odd[{k}])" for k in range(PARITY)) + ") <= size + m and 5 * least(size, m) >= 4 * greatest(size, m)"
+
+
 def _verified(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -187,33 +236,54 @@ def _verified(batches: Iterator) -> Iterator:
         yield batch.select([0, 1]).filter(pa.array([similar(a, b) for a, b in zip(*sets)], pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) are similar."""
 
     def work(rows: dict) -> dict:
         return {"node": rows["node"], "found": [shingles(words_of(t)).tobytes() for t in rows["text"]]}
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = durable(by_batch(docs.join(asked, "node", "left_semi"), work, "node long, found binary", 64).dropDuplicates(["node"]))
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = asked.count() <= ASKED
+    wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi")
+    sets = durable(by_batch(wanted, work, "node long, found binary", 64).dropDuplicates(["node"]))
     side = lambda end, name: sets.select(F.col("node").alias(end), F.col("found").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     return durable(map_arrow(both, _verified, "a long, b long"))
 
 
-def similar_links(docs: DataFrame, group: int = 16, rounds: int = 1) -> DataFrame:
-    """Links (a, b) that join every two nodes whose texts (node, text) are similar, directly or over others that are linked."""
-    counts = cell_counts(docs)
-    rows = map_arrow(docs.select("text"), _prefixes(counts), "token long, node long, size int, rest int")
-    dealt = rows.repartition("token").sortWithinPartitions("token")
-    found = durable(map_arrow(dealt, _paired(group), "a long, b long, large int, rest int"))
-    pairs = durable(found.where("large = 0").select("a", "b").distinct())
-    links = verified(docs, pairs)
-    # sets have a shingle at least, so `large` is the size of the set
-    large = found.where("large > 0").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("large").alias("size"), "rest")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def simhash_pairs(sketches: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes that chain all whose fingerprints `fp` are linked by SimHash, and all without words."""
+    first = durable(sketches.groupBy("fp").agg(F.min("node").alias("first")))
+    links = hamming_links(first.select("fp"), radius)
+    far = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = sketches.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    blank = sketches.where("size = 0")
+    none = blank.select(F.col("node").alias("a"), F.lit(blank.agg(F.min("node")).first()[0]).cast("long").alias("b"))
+    return far.unionByName(same).unionByName(none)
+
+
+def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds: int = 1) -> DataFrame:
+    """Links (a, b) that join every two nodes whose texts (node, text) are similar, directly or over others that are linked.
+
+    `sketches`: (node, size, bits, fp) of each node once.
+    """
+    cells = min(MOST_CELLS, max(CELLS, 1 << (sketches.count() // 4).bit_length()))
+    counts = cell_counts(texts, cells)
+    rows = map_arrow(texts.select("node", "text"), _prefixes(counts), PREFIXES)
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt")
+    found = durable(map_arrow(dealt, _paired(group), FOUND))
+    bare = sketches.select("node", "size", "bits")
+    other = bare.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("odd"))
+    pairs = _ordered(found.where("large = 0").select("a", "b").unionByName(simhash_pairs(sketches)))
+    pairs = durable(pairs.join(bare.withColumnRenamed("node", "a"), "a").join(other, "b").where(MAY_BE).select("a", "b"))
+    links = verified(texts, pairs)
+    large = found.where("large > 0").select(F.col("a").alias("token"), F.col("b").alias("node"), "rest").distinct()
     if not large.isEmpty():
-        members = docs.join(large.select("node").distinct(), "node", "left_semi")
-        bits = by_batch(members, lambda rows: {"node": rows["node"], "bits": [parities(shingles(words_of(t))) for t in rows["text"]]}, "node long, bits array<long>", 64)
-        large = durable(large.join(bits.dropDuplicates(["node"]), "node"))
+        large = durable(large.join(bare, "node"))
     for turn in range(rounds + 1):
         if large.isEmpty():
             break
@@ -221,30 +291,43 @@ def similar_links(docs: DataFrame, group: int = 16, rounds: int = 1) -> DataFram
         placed = large.drop("component").join(component, "node", "left").select("token", "node", "size", "rest", "bits", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
         large = durable(placed.join(open_, "token", "left_semi"))
-        near = "c != component and 9 * least(rest, left) >= 4 * (size + m) and 9 * (" + " + ".join(f"bit_count(bits[{k}] ^ odd[{k}])" for k in range(4)) + ") <= size + m"
+        near = f"c != component and 9 * least(rest, left) >= 4 * (size + m) and {MAY_BE}"
         named = [F.col("node").alias("a"), F.col("size").alias("m"), F.col("rest").alias("left"), F.col("bits").alias("odd"), F.col("component").alias("c")]
         if turn < rounds:
             hub = large.groupBy("token").agg(F.min_by(F.struct(*named), F.xxhash64("node", F.lit(turn))).alias("hub")).select("token", "hub.*")
             fits = large.withColumnRenamed("node", "b").join(hub, "token").where(near)
         else:
             fits = large.withColumnRenamed("node", "b").join(large.select("token", *named), "token").where(f"a < b and {near}")
-        more = durable(fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = durable(_ordered(fits.select("a", "b")).join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(more)
-        links = links.unionByName(verified(docs, more))
+        links = links.unionByName(verified(texts, more))
     return links
 
 
-def near_copy_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sha, component): each row's id, the digest of its text, and a name of the near copies it is linked with.
+SKETCHES = "doc_id long, sha string, node long, size int, bits array<long>, fp long"
 
-    Texts of the same words are near copies, as are null and empty texts.
-    """
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, sha, node, size, bits, fp) of each row: the digest of its text, its node, its number of shingles, parity bits and fingerprint."""
 
     def work(rows: dict) -> dict:
-        return {"doc_id": rows["doc_id"], "sha": [text_digest(t) for t in rows["text"]], "node": [node_of(words_of(t)) for t in rows["text"]]}
+        sets = [shingles(words_of(t)) for t in rows["text"]]
+        prints = np.array([fingerprint(t, SHINGLE) for t in rows["text"]], np.uint64).view(np.int64)
+        return {"doc_id": rows["doc_id"], "sha": [text_digest(t) for t in rows["text"]], "node": rows["node"], "size": list(map(len, sets)), "bits": list(map(parities, sets)), "fp": prints}
+
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", node_column().alias("node")), work, SKETCHES, 64)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = durable(by_batch(own, work, "doc_id long, sha string, node long"))
-    texts = by_batch(own.select("text"), lambda rows: {"node": [node_of(words_of(t)) for t in rows["text"]], "text": rows["text"]}, "node long, text string")
-    component = connected_components(similar_links(texts))
-    return keyed.join(component, "node", "left").select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
+
+def near_copy_classes(docs: DataFrame, group: int = 16) -> DataFrame:
+    """(doc_id, sha, component): each row's id, the digest of its text, and a name of the near copies it is linked with.
+
+    Texts of the same words are near copies, as are null and empty texts.
+    Repeated rows give repeated results, null ids are no ids of one document,
+    an empty table gives an empty result; further columns are ignored. Texts
+    and shingles are told apart by 64-bit hashes.
+    """
+    keyed = durable(sketched(docs))
+    texts = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    sketches = durable(keyed.select("node", "size", "bits", "fp").dropDuplicates(["node"]))
+    component = connected_components(similar_links(texts, sketches, group))
+    return keyed.select("doc_id", "sha", "node").join(component, "node", "left").select("doc_id", "sha", F.coalesce("component", "node").alias("component"))

@@ -38,15 +38,34 @@ def test_links_equal_brute_force_in_small_and_large_groups(spark):
         for j in range(i):
             if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
                 parent = [parent[j] if p == parent[i] else p for p in parent]
-    nodes = [near_copies.node_of(near_copies.words_of(t)) for t in said]
-    docs = spark.createDataFrame(list(zip(nodes, said)), "node long, text string")
-    for group in (2, 16, 1000):
-        found = near_copies.connected_components(near_copies.similar_links(docs, group)).collect()
-        name = {r.node: r.component for r in found}
-        got = [name.get(n, n) for n in nodes]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for group in (2, 1000):
+        name = {r.doc_id: r.component for r in near_copies.near_copy_classes(docs, group).collect()}
+        got = [name[k] for k in range(len(said))]
         assert len(set(zip(got, parent))) == len(set(got)) == len(set(parent)), group
 
 
+def test_crowded_shingles_are_dealt_out_and_links_stay(spark, monkeypatch):
+    """With salts for nearly all shingles, texts of one group still find each other."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    said = [" ".join(edited(rng, base, 1)) for _ in range(40)] + [" ".join(f"z{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    want = {frozenset(g) for g in groups(near_copies.near_copy_classes(docs))}
+    counts = near_copies.np.full(near_copies.CELLS, 10**6)
+    counts[::2] = 0
+    monkeypatch.setattr(near_copies, "cell_counts", lambda texts, cells: counts)
+    monkeypatch.setattr(near_copies, "SALTED", 100)
+    assert {frozenset(g) for g in groups(near_copies.near_copy_classes(docs))} == want and len(want) < 40
+
+
+def groups(classes):
+    found = {}
+    for r in classes.collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    return found.values()
+
+
 def test_stage_links_by_similarity_alone(spark):
     """Ten copies with two edits each are dropped however far their fingerprints are, and less similar texts stay."""
     rng = random.Random(1)
