@@ -87,6 +87,20 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]],
     return map_arrow(df, run, df.schema)
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str, hot: int = 2000) -> DataFrame:
+    """Inner join with `small`, which has each key once and in `count` how often it occurs in `big`.
+
+    Keys of more than 1/`hot` of the rows, of which there are fewer than `hot`,
+    are broadcast, so that none meets in one task. `big` is read twice.
+    """
+    from pyspark.sql import functions as F
+
+    total = small.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = small.where(F.col(count) * hot > total)
+    rest = big.join(F.broadcast(often.select(keys)), keys, "left_anti").join(small.where(F.col(count) * hot <= total), keys)
+    return big.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns to add, none of which `df` has."""
     taken = {c.lower() for c in df.columns}

@@ -104,6 +104,20 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    # texts as hexadecimal digits, windows cut from blocks of 512 bytes, as a cut from a long string costs its length
+    "op6_suffix_dedup": """
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT rid, o, substr(x, 2 * o + 1, 2 * (512 + 199)) AS own FROM (SELECT rid, x, unnest(range(0, length(x) // 2, 512)) AS o FROM t)),
+        w AS MATERIALIZED (SELECT rid, o + i AS i, md5_number(substr(own, 2 * i + 1, 400)) AS k FROM (SELECT rid, o, own, unnest(range(0, least(512, length(own) // 2 - 199))) AS i FROM c)),
+        r AS (SELECT rid, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+        s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+        g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+        z AS MATERIALIZED (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY rid, run),
+        p AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since FROM z),
+        k AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS ends, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM p JOIN t USING (rid) GROUP BY rid)
+        SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(ends, 0) + 1))) AS kept_sha256
+        FROM t LEFT JOIN k USING (rid)""",
     "op7_secret_scan": f"""
         WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
         m AS MATERIALIZED ({" UNION ALL ".join(_secret_matches(k, kind) for k, kind in enumerate(SECRETS))}),

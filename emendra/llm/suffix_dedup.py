@@ -9,17 +9,22 @@ its extent, and every window belongs to exactly one.
 
 1. Grams that occur as anchors only once can't repeat (counted with map-side
    combining, whatever their frequency).
-2. Of the rest, extents that occur twice as a whole are removed as a whole.
-3. Extents that are the only ones of their kind but share the gram with others
-   are compared: every task sorts the suffixes from its anchors into runs,
-   exchanges them front-coded, and loser trees merge the runs without ever
-   re-reading known prefixes. Neighbours that share a gram are compared by the
-   common prefixes the merge has found, and by their left contexts.
-4. A gram with very many different extents isn't merged in one task: their
-   windows are counted by digest instead, spread over all tasks.
-
-Texts travel compressed, twice: to the extents to be compared, and to the
-ranges to be removed.
+2. Of the rest, equal extents are one suffix with a count. All windows of an
+   extent that occurs twice repeat.
+3. Extents that occur once but share the gram with others are compared: every
+   task sorts the suffixes from their anchors into runs, exchanges them
+   front-coded, and loser trees merge the runs without ever re-reading known
+   prefixes. Of the extents of a gram, those that share a window have a common
+   prefix on the right of the anchor, which the merge has found, and one on the
+   left: at each offset of the anchor in the window, runs of neighbours with
+   long enough prefixes are classes, and windows are equal if both classes are.
+4. A gram with more than `crowd` different extents isn't merged in one task:
+   their windows are counted by digest instead, spread over all tasks.
+
+A text goes by its 128-bit digest: rows of equal texts, whatever their ids,
+share what is found, and rows that share an id but not the text never meet.
+Texts travel compressed, twice: to the extents to be compared, of equal ones
+only one, and to the ranges to be removed.
 """
 
 from __future__ import annotations
@@ -30,18 +35,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import durable, map_arrow
+from emendra.llm.common import durable, join_counted, map_arrow
 from emendra.llm.suffix_runs import common_prefix, front_code, merge_runs, read_run
 
 WINDOW, GRAM = 200, 48
 #: Bytes of text that are hashed at once, and of suffixes sorted into one run.
 BUFFER, RUN = 1 << 20, 24 << 20
-#: Different extents of a gram that are compared in one task, and up to which each two of them are.
+#: Different extents of a gram that are compared in one task, and up to which each is compared with its neighbours one by one.
 CROWD, FEW = 50_000, 12
 #: Extents to a part of the exchange.
 PART_ENTRIES = 50_000
-#: Stands for a null id.
-NO_ID = -(1 << 63)
+#: Digests of texts that a task remembers, so as to send equal ones once.
+REMEMBERED = 100_000
+KEY = ["k1", "k2"]
 
 _LOW = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20240607)
@@ -91,20 +97,17 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     return text[new], place[new], at[new], at[last], hashes[place[new]].view(np.int64)
 
 
-def _tag(data: bytes) -> int:
-    """15 bits of a text, which tell apart rows that share an id but not the text."""
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(data) >> 49
+def _digest(data: bytes) -> tuple[int, int]:
+    """A text's 128-bit digest as two signed numbers."""
+    from xxhash import xxh3_128_digest
 
-
-def pack(tag: int, place: int, before: int, more: int) -> int:
-    """An extent in one number: anchor at `place`, first window `before` bytes earlier, `more` further windows."""
-    return tag << 48 | place << 16 | before << 8 | more
+    found = xxh3_128_digest(data)
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def unpack(position: int) -> tuple[int, int, int]:
-    return position >> 16 & 0xFFFFFFFF, position >> 8 & 255, position & 255
+    """An extent in one number: anchor at `place`, first window `before` bytes earlier, `more` further windows."""
+    return position >> 16, position >> 8 & 255, position & 255
 
 
 def _raw(text: str | None) -> bytes:
@@ -112,7 +115,7 @@ def _raw(text: str | None) -> bytes:
 
 
 def _anchor_rows(whole: bool, window: int, gram: int):
-    """Arrow rows of anchors: the gram hash, or with `whole` also the extent's digest, document and packed position."""
+    """Arrow rows of anchors of (text): the gram hash, or with `whole` also the extent's digest, the text's, and the packed position."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -130,25 +133,23 @@ def _anchor_rows(whole: bool, window: int, gram: int):
                 return pa.RecordBatch.from_pydict({"h": pa.array(hashes, pa.int64())})
             view = memoryview(data)
             digests = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + window).tolist())), np.uint64, len(first)).view(np.int64)
-            ids = np.array([x[0] for x in held], np.int64)[text]
-            tags = np.array([x[1] for x in held], np.int64)[text]
-            base = np.array([x[2] for x in held], np.int64)[text]
-            positions = tags << 48 | (place - starts[text] + base) << 16 | (place - first) << 8 | (last - first)
-            return pa.RecordBatch.from_pydict({"h": pa.array(hashes, pa.int64()), "e": pa.array(digests, pa.int64()), "doc": pa.array(ids, pa.int64()), "pos": pa.array(positions, pa.int64())})
+            one, two, base = (np.array([x[k] for x in held], np.int64)[text] for k in range(3))
+            positions = (place - starts[text] + base) << 16 | (place - first) << 8 | (last - first)
+            return pa.RecordBatch.from_pydict({"h": pa.array(hashes, pa.int64()), "e": pa.array(digests, pa.int64()), "k1": pa.array(one, pa.int64()), "k2": pa.array(two, pa.int64()), "pos": pa.array(positions, pa.int64())})
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
                 raw = _raw(text.as_py())
                 if len(raw) < window:
                     continue
-                tag = _tag(raw) if whole else 0
+                key = _digest(raw) if whole else (0, 0)
                 for at in range(0, len(raw) - window + 1, BUFFER):
                     piece = raw[at : at + BUFFER + window - 1]
                     if size + len(piece) > 2 * BUFFER:
                         yield flush()
                         held.clear()
                         size = 0
-                    held.append((key, tag, at, piece))
+                    held.append((*key, at, piece))
                     size += len(piece)
         if held:
             yield flush()
@@ -156,21 +157,33 @@ def _anchor_rows(whole: bool, window: int, gram: int):
     return run
 
 
-def _compressed(batches: Iterator) -> Iterator:
-    """(doc, tag, z): texts as compressed bytes."""
-    import pyarrow as pa
-    import zstandard
+def _compressed(once: bool):
+    """(k1, k2, z): digests and compressed bytes of (text), most equal ones of a task `once`; or with doc_id of (doc_id, text)."""
 
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
-            raws = [_raw(t.as_py()) for t in rows.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc": rows.column(0), "tag": pa.array([_tag(r) for r in raws], pa.int32()), "z": pa.array([packer.compress(r) for r in raws], pa.binary())})
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        seen: set = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                raws = [_raw(t.as_py()) for t in rows.column(rows.num_columns - 1)]
+                keys = [_digest(r) for r in raws]
+                if once:
+                    new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+                    raws, keys = [raws[k] for k in new], [keys[k] for k in new]
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                made = {"k1": pa.array([a for a, _ in keys], pa.int64()), "k2": pa.array([b for _, b in keys], pa.int64()), "z": pa.array([packer.compress(r) for r in raws], pa.binary())}
+                yield pa.RecordBatch.from_pydict(made if once else {"doc_id": rows.column(0), **made})
+
+    return run
 
 
 def _cut_runs(parts: int, window: int):
-    """Sorted, front-coded runs of the suffixes from the anchors of each row (doc, z, [(h, pos, single)])."""
+    """Sorted, front-coded runs of the suffixes from the anchors of each row (k1, k2, z, [(h, pos, single)])."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -197,12 +210,12 @@ def _cut_runs(parts: int, window: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "run", "seq", "block"])
 
         for batch in batches:
-            for doc, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for one, two, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = opener.decompress(z.as_py())
                 for item in wanted.as_py():
                     place, before, more = unpack(item["pos"])
                     first = place - before
-                    entry = (raw[place : first + more + window], raw[first:place][::-1], doc, item["pos"], item["single"])
+                    entry = (raw[place : first + more + window], raw[first:place][::-1], one, two, item["pos"], item["single"])
                     held.setdefault(item["h"] % parts, []).append(entry)
                     size += len(entry[0]) + len(entry[1]) + 200
                 if size > RUN:
@@ -213,56 +226,66 @@ def _cut_runs(parts: int, window: int):
     return run
 
 
-def shared_windows(group: list[tuple[int, tuple]], window: int = WINDOW) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, packed position, start, end) of bytes covered by windows that single extents share with others of the group.
+def shared_windows(group: list[tuple[int, tuple]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """(number in the group, start, end) of bytes covered by windows that single extents share with others of the group.
 
     `group`: (prefix shared with the one before, entry) of different extents with one gram, in order.
     """
-    if not any(e[4] for _, e in group):
+    if not any(e[-1] for _, e in group):
         return
-    if len(group) <= FEW:
-        for i, (_, (_, left, doc, pos, single)) in enumerate(group):
-            if not single:
-                continue
-            place, before, more = unpack(pos)
-            reach: list[tuple[int, int]] = []
-            for side in (range(i - 1, -1, -1), range(i + 1, len(group))):
-                right = 1 << 30
-                for j in side:
-                    right = min(right, group[max(i, j) if j > i else j + 1][0])
-                    if right < window - before:
-                        break
-                    low, high = max(-before, -common_prefix(left, group[j][1][1])), min(more - before, right - window)
-                    if low <= high:
-                        reach.append((low, high))
-            for low, high in reach:
-                yield doc, pos, place + low, place + high + window
+    yield from (_shared_by_few if len(group) <= FEW else _shared_by_classes)(group, window)
+
+
+def _shared_by_few(group: list[tuple[int, tuple]], window: int) -> Iterator[tuple[int, int, int]]:
+    """Each extent's neighbours, as far as the running minimum of their common prefixes reaches a window."""
+    for i, (_, (_, left, _, _, pos, single)) in enumerate(group):
+        if not single:
+            continue
+        place, before, more = unpack(pos)
+        for side in (range(i - 1, -1, -1), range(i + 1, len(group))):
+            right = 1 << 30
+            for j in side:
+                right = min(right, group[max(i, j) if j > i else j + 1][0])
+                if right < window - before:
+                    break
+                low, high = max(-before, -common_prefix(left, group[j][1][1])), min(more - before, right - window)
+                if low <= high:
+                    yield i, place + low, place + high + window
+
+
+def _shared_by_classes(group: list[tuple[int, tuple]], window: int) -> Iterator[tuple[int, int, int]]:
+    """At each offset of the anchor in the window: classes of extents that agree on the right and on the left of it."""
+    m = len(group)
+    entries = [e for _, e in group]
+    right = np.array([shared for shared, _ in group], np.int64)
+    order = sorted(range(m), key=lambda k: entries[k][1])
+    left = np.array([0, *(common_prefix(entries[a][1], entries[b][1]) for a, b in zip(order, order[1:]))], np.int64)
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    place, before, more = np.array([unpack(e[4]) for e in entries], np.int64).T
+    single = np.array([e[5] for e in entries], bool)
+    owners, firsts = [], []
+    for offset in range(int((before - more).min()), int(before.max()) + 1):
+        own = np.flatnonzero((offset <= before) & (offset >= before - more))
+        if len(own) < 2:
+            continue
+        # class numbers grow where neighbours share less than the window's part on that side
+        key = np.cumsum(right < window - offset)[own] * (m + 1) + np.cumsum(left < offset)[rank[own]]
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        hit = own[(counts[inverse] > 1) & single[own]]
+        owners.append(hit)
+        firsts.append(place[hit] - offset)
+    if not owners:
         return
-    # all windows of the group by digest: 16 bytes each, so that a group of CROWD extents fits a task
-    from xxhash import xxh3_128_digest
-
-    digests, owners, firsts = bytearray(), [], []
-    for k, (_, (suffix, left, _, pos, _)) in enumerate(group):
-        text = left[::-1] + suffix
-        n = len(text) - window + 1
-        for at in range(n):
-            digests += xxh3_128_digest(text[at : at + window])
-        owners.append(np.full(n, k, np.int32))
-        firsts.append(np.arange(n, dtype=np.int64) + unpack(pos)[0] - len(left))
-    pairs = np.frombuffer(bytes(digests), dtype=[("a", "<u8"), ("b", "<u8")])
-    _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
     owner, first = np.concatenate(owners), np.concatenate(firsts)
-    single = np.array([e[4] for _, e in group], bool)
-    hit = (counts[inverse] > 1) & single[owner]
-    owner, first = owner[hit], first[hit]
     if not len(owner):
         return
+    inorder = np.lexsort((first, owner))
+    owner, first = owner[inorder], first[inorder]
     # neighbouring windows of an extent make one range
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1] + 1)))
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1] + 1))))
     lasts = np.append(starts[1:], len(owner)) - 1
-    for k, low, high in zip(owner[starts].tolist(), first[starts].tolist(), first[lasts].tolist()):
-        yield group[k][1][2], group[k][1][3], low, high + window
+    yield from zip(owner[starts].tolist(), first[starts].tolist(), (first[lasts] + window).tolist())
 
 
 def _merge_parts(window: int, gram: int):
@@ -278,25 +301,29 @@ def _merge_parts(window: int, gram: int):
             group: list[tuple[int, tuple]] = []
             for shared, entry in merge_runs([read_run(map(opener.decompress, blocks)) for blocks in runs.values()]):
                 if shared < gram and group:
-                    yield from shared_windows(group, window)
+                    yield from of_group(group)
                     group = []
                 group.append((shared, entry))
-            yield from shared_windows(group, window)
+            yield from of_group(group)
+
+        def of_group(group: list[tuple[int, tuple]]) -> Iterator[tuple]:
+            for k, a, b in shared_windows(group, window):
+                yield *group[k][1][2:5], a, b
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
             columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([p >> 48 for p in columns[1]], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["doc", "tag", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[k], pa.int64()) for k in (0, 1, 3, 4)], names=[*KEY, "first", "last"])
 
         def merged(runs: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
             out: list[list] = []
-            for doc, pos, a, b in ranges(runs):
-                if out and out[-1][:2] == [doc, pos] and a <= out[-1][3] and b >= out[-1][2]:
-                    out[-1][2:] = [min(a, out[-1][2]), max(b, out[-1][3])]
+            for *own, a, b in ranges(runs):
+                if out and out[-1][:3] == own and a <= out[-1][4] and b >= out[-1][3]:
+                    out[-1][3:] = [min(a, out[-1][3]), max(b, out[-1][4])]
                     continue
                 if len(out) >= 20_000:
                     yield batch_of(out)
                     out = []
-                out.append([doc, pos, a, b])
+                out.append([*own, a, b])
             if out:
                 yield batch_of(out)
 
@@ -316,26 +343,27 @@ def _merge_parts(window: int, gram: int):
 
 
 def _window_digests(window: int):
-    """Digests of all windows of extents of crowded grams: (w1, w2, doc, tag, first, single)."""
+    """Digests of all windows of extents of crowded grams: (w1, w2, k1, k2, first, single)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_128_digest
 
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for one, two, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = opener.decompress(z.as_py())
-                digests, firsts, singles, tags = [], [], [], []
+                digests, firsts, singles = bytearray(), [], []
                 for item in wanted.as_py():
                     place, before, more = unpack(item["pos"])
                     for at in range(place - before, place - before + more + 1):
-                        digests.append(xxh3_128_intdigest(raw[at : at + window]))
+                        digests += xxh3_128_digest(raw[at : at + window])
                         firsts.append(at)
                         singles.append(item["single"])
-                        tags.append(item["pos"] >> 48)
-                yield pa.RecordBatch.from_pydict({"w1": pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), "w2": pa.array(np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64)), "doc": pa.array([doc] * len(digests), pa.int64()), "tag": pa.array(tags, pa.int32()), "first": pa.array(firsts, pa.int64()), "single": pa.array(singles, pa.int32())})
+                halves = np.frombuffer(bytes(digests), "<i8").reshape(-1, 2)
+                columns = {"w1": halves[:, 0], "w2": halves[:, 1], "k1": np.full(len(firsts), one), "k2": np.full(len(firsts), two), "first": np.array(firsts, np.int64)}
+                yield pa.RecordBatch.from_pydict({k: np.ascontiguousarray(v) for k, v in columns.items()} | {"single": pa.array(singles, pa.int32())})
 
     return run
 
@@ -366,37 +394,39 @@ def _remove(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=kinds[k]) for k in range(len(names))], names=list(names))
 
 
-def repeated_ranges(own: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(doc, tag, first, last): byte ranges covered by repeated windows; and the compressed texts (doc, tag, z) of `own` (doc, text)."""
+def repeated_ranges(own: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(k1, k2, first, last): byte ranges of texts (text), named by their digests, that repeated windows cover; some may be there twice."""
+    if not 1 <= gram <= window < gram + 256:
+        raise ValueError("window must be less than 256 bytes longer than gram.\n\nCause: an extent's windows are counted in one byte.\n\nTo fix: choose a longer gram.")
     spark = own.sparkSession
-    packed = map_arrow(own, _compressed, "doc long, tag int, z binary")
     # written first, so that the join below has plain exchanges on both sides, whose hot parts can be split
     often = durable(map_arrow(own, _anchor_rows(False, window, gram), "h long").groupBy("h").count().where("count > 1").select("h"))
-    rows = map_arrow(own, _anchor_rows(True, window, gram), "h long, e long, doc long, pos long")
+    rows = map_arrow(own, _anchor_rows(True, window, gram), "h long, e long, k1 long, k2 long, pos long")
     found = durable(rows.join(often, "h", "left_semi"))
-    kinds = durable(found.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("h", "e", "n", "at.doc", "at.pos"))
-    whole = found.join(kinds.where("n > 1").select("h", "e"), ["h", "e"]).select("doc", "pos")
+    kinds = durable(found.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("at")).select("h", "e", "n", "at.k1", "at.k2", "at.pos"))
+    whole = join_counted(found, kinds.where("n > 1").select("h", "e", "n"), ["h", "e"], "n").select(*KEY, "pos")
     # windows from place - before on, `more` further ones
-    first = F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.shiftright("pos", 8).bitwiseAND(F.lit(255).cast("long"))
-    covered = whole.select("doc", F.shiftright("pos", 48).cast("int").alias("tag"), first.alias("first"), (first + F.col("pos").bitwiseAND(F.lit(255).cast("long")) + window).alias("last"))
+    first = F.shiftright("pos", 16) - F.shiftright("pos", 8).bitwiseAND(F.lit(255).cast("long"))
+    covered = whole.select(*KEY, first.alias("first"), (first + F.col("pos").bitwiseAND(F.lit(255).cast("long")) + window).alias("last"))
     # grams with several kinds of extent of which one is single
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m")
-    wanted = durable(kinds.join(mixed, "h").select("h", "doc", "pos", (F.col("n") == 1).cast("int").alias("single"), (F.col("m") > crowd).alias("crowded")))
+    mixed = durable(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m"))
+    wanted = durable(join_counted(kinds, mixed, ["h"], "m").select("h", *KEY, "pos", (F.col("n") == 1).cast("int").alias("single"), (F.col("m") > crowd).alias("crowded")))
     sizes = {r.crowded: r["count"] for r in wanted.groupBy("crowded").count().collect()}
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes.get(False, 0) // PART_ENTRIES + 1)
+    texts = map_arrow(own, _compressed(True), "k1 long, k2 long, z binary")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        listed = rows.groupBy("doc", F.shiftright("pos", 48).cast("int").alias("tag")).agg(F.collect_list(F.struct("h", "pos", "single")).alias("wanted"))
-        return listed.join(packed, ["doc", "tag"]).select("doc", "z", "wanted")
+        listed = rows.groupBy(*KEY).agg(F.collect_list(F.struct("h", "pos", "single")).alias("wanted"))
+        return listed.join(texts, KEY).dropDuplicates(KEY).select(*KEY, "z", "wanted")
 
     runs = map_arrow(with_text(wanted.where("not crowded")), _cut_runs(parts, window), "part int, run long, seq int, block binary")
     dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
-    covered = covered.unionByName(map_arrow(dealt, _merge_parts(window, gram), "doc long, tag int, first long, last long"))
+    covered = covered.unionByName(map_arrow(dealt, _merge_parts(window, gram), "k1 long, k2 long, first long, last long"))
     if sizes.get(True):
-        windows = map_arrow(with_text(wanted.where("crowded")), _window_digests(window), "w1 long, w2 long, doc long, tag int, first long, single int")
+        windows = map_arrow(with_text(wanted.where("crowded")), _window_digests(window), "w1 long, w2 long, k1 long, k2 long, first long, single int")
         again = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-        covered = covered.unionByName(windows.where("single = 1").join(again, ["w1", "w2"]).select("doc", "tag", "first", (F.col("first") + window).alias("last")))
-    return covered, packed
+        covered = covered.unionByName(windows.where("single = 1").join(again, ["w1", "w2"]).select(*KEY, "first", (F.col("first") + window).alias("last")))
+    return covered
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -404,12 +434,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crow
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross texts.
     `removed` are maximal byte runs, `kept` the remaining bytes. Repeated rows
-    repeat each other, so all but short ones vanish; rows that share an id but
-    not the text are told apart; an empty table gives an empty result; further
-    columns are ignored.
+    repeat each other, so all but short ones vanish; null and shared ids tell
+    nothing about texts; an empty table gives an empty result; further columns
+    are ignored. `window` is less than 256 bytes longer than `gram`.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    covered, packed = repeated_ranges(own, window, gram, crowd)
-    listed = covered.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    joined = packed.join(listed, ["doc", "tag"], "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "z", "ranges")
+    covered = repeated_ranges(docs.select("text"), window, gram, crowd)
+    # sets are combined before the exchange, so that a text of very many rows adds little
+    listed = covered.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    packed = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _compressed(False), "doc_id long, k1 long, k2 long, z binary")
+    joined = packed.join(listed, KEY, "left").select("doc_id", "z", "ranges")
     return map_arrow(joined, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first: long, last: long>>, kept binary")

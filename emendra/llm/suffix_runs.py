@@ -5,9 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-#: (suffix, reversed left context, document, packed position, 1 if the only one of its kind)
-Entry = tuple[bytes, bytes, int, int, int]
-_META = struct.Struct("<qqB")
+#: (suffix, reversed left context, both halves of the text's digest, packed position, 1 if the only one of its kind)
+Entry = tuple[bytes, bytes, int, int, int, int]
+_META = struct.Struct("<qqqB")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:

@@ -77,6 +77,25 @@ def test_repeated_rows_and_shared_ids(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_many_rows_without_id_equal_brute_force(spark):
+    """900 different texts with null ids, and some that share one id."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(150, 400))) + shared[rng.randrange(600) :][: rng.randrange(150, 300)] for _ in range(900)]
+    docs = spark.createDataFrame([(None if k < 800 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted(brute(texts, 200))
+
+
+def test_a_text_of_very_many_rows(spark):
+    text = "one hot text " * 30
+    docs = spark.createDataFrame([(k, text) for k in range(500)] + [(None, "z" + text[:250])], "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted({(r.n_bytes, r.n_removed) for r in got}) == [(251, 250), (390, 390)] and len(got) == 501
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, 400, 48)
+
+
 def test_anchors_cut_every_window_once():
     import numpy as np
 
@@ -94,7 +113,7 @@ def test_anchors_cut_every_window_once():
 
 def test_front_coded_runs_merge_in_order():
     rng = random.Random(6)
-    entry = lambda: (bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12))), bytes(rng.choice(b"xy") for _ in range(3)), rng.randrange(99), rng.randrange(1 << 50), 1)
+    entry = lambda: (bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12))), bytes(rng.choice(b"xy") for _ in range(3)), rng.randrange(99), -rng.randrange(99), rng.randrange(1 << 50), 1)
     for n in (0, 1, 2, 3, 7):
         runs = [sorted(entry() for _ in range(rng.randrange(0, 40))) for _ in range(n)]
         coded = [[front_code(r[a : a + 9]) for a in range(0, len(r), 9)] for r in runs]
@@ -115,7 +134,7 @@ def test_merging_never_reads_known_prefixes(monkeypatch):
         read.append((known, plain(a, b)))
         return plain(a, b, known)
 
-    runs = [[(b"p" * 500 + bytes([97 + k, 97 + j]), b"", 0, 0, 1) for j in range(20)] for k in range(4)]
+    runs = [[(b"p" * 500 + bytes([97 + k, 97 + j]), b"", 0, 0, 0, 1) for j in range(20)] for k in range(4)]
     coded = [[front_code(r)] for r in runs]
     monkeypatch.setattr(suffix_runs, "common_prefix", spy)
     assert len(list(merge_runs([read_run(iter(c)) for c in coded]))) == 80
