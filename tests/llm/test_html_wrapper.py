@@ -80,25 +80,89 @@ def test_wrapper_resolves_mismatches():
     assert [c[W.KEY] for c in wrapper[W.REST]] == ["ul", "h2", "p"]
     assert by_key["h2"][W.OPTIONAL] and not by_key["ul"][W.OPTIONAL]
     assert by_key["p"][W.REPEATED] and by_key["ul"][W.REST][0][W.REPEATED]
-    assert by_key["h2"][W.REST][0][4] == "new" and by_key["p"][W.REST][0][4] is None
+    new, slot = by_key["h2"][W.REST][0], by_key["p"][W.REST][0]
+    assert new[4] == new[5] == W._hash("new") and slot[4] != slot[5]
 
 
-def test_large_wrappers_are_pruned(monkeypatch):
+def test_large_wrappers_lose_names_but_no_weight(monkeypatch):
+    pages = [read(f"<article><p>x{k}</p></article><div class='c{chr(97 + k % 26)}{chr(97 + k // 26)}'>y</div><i>z</i>") for k in range(60)]
+    plain = coarse = None
+    for page in pages:
+        plain = W.merge(plain, W.expression(page))
     monkeypatch.setattr(W, "NODES", 30)
-    wrapper = None
-    for k in range(60):
-        wrapper = W.merge(wrapper, W.expression(read(f"<article><p>x{k}</p></article><div class='c{chr(97 + k % 26)}{chr(97 + k // 26)}'>y</div>")))
-    assert W._count(wrapper) <= 40 and W.main_paths(wrapper) == ["/article"]
+    for page in pages:
+        coarse = W.merge(coarse, W.expression(page))
+    assert W._count(plain) > 60 > 40 > W._count(coarse)
+    chars = lambda n: n[6] if n[W.KEY] == "#" else sum(map(chars, n[W.REST]))
+    assert chars(plain) == chars(coarse) and W.main_paths(coarse) == (["/article"], True)
 
 
-@pytest.mark.parametrize("url,host", [(None, ""), ("https://A.b/c", "a.b"), ("http://u:p@x.y:8080?q", "x.y:8080"), ("x.y/z", "x.y"), ("ftp://q#f", "q")])
+@pytest.mark.parametrize("url,host", [(None, ""), ("https://A.b/c", "a.b"), ("http://u:p@x.y:8080?q", "x.y:8080"), ("x.y/z", "x.y"), ("ftp://q#f", "q"), ("\u2003https://A.b ", "a.b")])
 def test_hosts(spark, url, host):
-    assert W.host_of(url) == host
     assert spark.createDataFrame([(url,)], "url string").select(W.host_column("url")).first()[0] == host
 
 
+def plain_template(rng, number, side, teaser):
+    """A page without one name or tag that tells its parts apart, and its main text."""
+    paras = [text(rng, rng.randrange(6, 25)) for _ in range(rng.randrange(1, 4))]
+    head = text(rng, 4)
+    links = "".join(f"<div><a href=/{n}>{text(rng, 3)}</a></div>" for n in range(rng.randrange(3, 7)))
+    extra = f"<div class=k5>{teaser}</div>" if number % 2 else ""
+    page = f"<html><body><div class=k1>{side}</div><div class=k2><div class=k3>{head}</div><div class=k4>{''.join(f'<p>{p}</p>' for p in paras)}{extra}<div class=k6>{links}</div><p>{text(random.Random(0), 5)}</p></div></div><div class=k7>{side}</div></body></html>"
+    return page, paras
+
+
+def test_wrappers_find_what_a_single_page_cannot(spark):
+    """Hosts without telling names: template text, an optional box and lists of links go by the wrapper alone."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for host in range(3):
+        side, teaser = text(rng, 90), text(rng, 30)
+        for k in range(12):
+            page, paras = plain_template(rng, k, side, teaser)
+            rows.append((100 * host + k, f"http://h{host}.example/{k}", page))
+            want[rows[-1][0]] = " ".join(paras)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {k: W.extract(page, None) for k, _, page in rows}
+    got = [{r.page_id: r.text for r in W.extract_main_text(f).collect()} for f in (frame.repartition(1), frame.repartition(5), frame.orderBy("page_id", ascending=False).union(frame.limit(0)))]
+    assert got[0] == got[1] == got[2]
+    for k, paras in want.items():
+        assert all(p in got[0][k] for p in paras.split(". ")) and rows[0][2]
+        assert len(got[0][k]) < len(paras) + 60 and len(alone[k]) > len(paras) + 150
+
+
+def test_template_text_in_the_main_part_goes_but_copies_of_a_page_stay(spark):
+    rng = random.Random(8)
+    body = [text(rng, 20) for _ in range(8)]
+    pages = [(k, "http://a/", f"<article><h1>{text(rng, 3)}</h1><p>{b}</p><div>Always the same line</div></article>") for k, b in enumerate(body)]
+    copy = "<article><h1>Same</h1><p>every copy says this</p></article>"
+    pages += [(100 + k, "http://b/", copy) for k in range(9)] + [(200 + k, f"http://c/{k}", copy) for k in range(2)]
+    got = {r.page_id: r.text for r in W.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k].endswith(b) for k, b in enumerate(body))
+    assert {got[k] for k in got if k >= 100} == {"Same every copy says this"}
+
+
+def test_wrappers_do_not_depend_on_order_or_partitions(spark):
+    rng = random.Random(9)
+    rows = [("h", article_page(rng, rng.choice(["article", "div class=b", "div"]))[0]) for _ in range(60)]
+    whole = [W.infer_wrappers(spark.createDataFrame(rng.sample(rows, 60) + rows[:k], "host string, html string").repartition(n)).collect() for k, n in ((0, 1), (9, 7), (3, 3))]
+    assert whole[0] == whole[1] == whole[2] and len(whole[0]) == 1
+
+
+def test_inline_parts():
+    one = lambda page: W.extract(page, None)
+    assert one("<p>One <span hidden>two</span> three four five.</p><p>six</p>") == "One three four five. six"
+    assert one("<h2>Head <a class='hidden-xs' href=x>line</a><a aria-hidden=true>#</a></h2><p>text <span class='ad'>buy</span> goes <b>on</b></p>") == "Head line text goes on"
+    assert one("<p>x<script>if (a < b) {}</script>y</p>") == "xy"
+    assert one("<p>a <span class=ad>never closed</p><p>b</p>") == "a b"
+    assert one("<article><section class='related-work'><h2>Related</h2><p>work</p></section><header><h1>Title</h1></header><div class='related-posts'>more</div></article>") == "Related work Title"
+    assert one("<body><form id=all><article><p>text</p></article></form><form><p>mail</p></form></body>") == "text"
+    assert one("<div class='block block-system ad'>buy</div><div><p>text</p></div>") == "text"
+    deep = "<div>" * 300
+    assert one(f"{deep}<nav>menu</nav><p>below</p><div class=ad>buy</div>{'</div>' * 300}<p>after</p>") == "below after"
+
+
 def test_later_names_mark_boilerplate_and_main_text():
     said = "the story goes on and on " * 10
     page = read(f"<body><div class='wide box article-body'><p>{said}</p><div class='col-md-12 mt-4 comments'>a comment</div><section class='post-section wide' id='comments'>another</section></div><div class='row wide sidebar'>{said * 9}</div></body>")
-    paths = W.main_paths(W.expression(page))
-    assert W.cut(page, paths) == said.strip()
+    assert W.cut(page, W.plan_of(W.expression(page))) == said.strip()
