@@ -25,11 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
-    """One row of `docs` for each of `winners` (doc_id, sha: the digest of the text); null ids are equal here."""
+    """One row of `docs` for each of `winners` (doc_id, sha: the digest of the text); null ids are equal here. Texts are dealt out once."""
     id_, sha = own_names(docs, "id", "sha")
-    keyed = exact_dedup.with_digest(docs, sha).withColumn(id_, F.col("doc_id").cast("string"))
-    chosen = winners.select(F.col("doc_id").cast("string").alias("id"), "sha")
-    kept = keyed.join(chosen, keyed[id_].eqNullSafe(chosen["id"]) & (keyed[sha] == chosen["sha"]), "left_semi")
+    plain = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = exact_dedup.with_digest(docs, sha).withColumn(id_, plain)
+    kept = keyed.join(winners.select(plain.alias(id_), F.col("sha").alias(sha)), [id_, sha], "left_semi")
     return one_row_per(kept, id_, sha).select(docs.columns)
 
 

@@ -20,7 +20,7 @@ the end. So a large group of near copies costs a few comparisons a text. A
 shingle of very many texts is dealt to several tasks.
 
 Pairs are screened by size and by 512 parity bits before their sets are made;
-only texts of pairs that pass are read for that.
+only texts of pairs that pass are sent around for that.
 """
 
 from __future__ import annotations
@@ -232,21 +232,18 @@ def _verified(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (2, 3)]
-        yield batch.select([0, 1]).filter(pa.array([similar(a, b) for a, b in zip(*sets)], pa.bool_()))
+        for at in range(0, batch.num_rows, 64):
+            rows = batch.slice(at, 64)
+            sets = [[shingles(words_of(t)) for t in rows.column(k).to_pylist()] for k in (2, 3)]
+            yield rows.select([0, 1]).filter(pa.array([similar(a, b) for a, b in zip(*sets)], pa.bool_()))
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) are similar."""
-
-    def work(rows: dict) -> dict:
-        return {"node": rows["node"], "found": [shingles(words_of(t)).tobytes() for t in rows["text"]]}
-
+    """The pairs (a, b) of nodes whose texts (node, text) are similar. Texts travel, as they compress and hashes of shingles don't."""
     asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = asked.count() <= ASKED
-    wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi")
-    sets = durable(by_batch(wanted, work, "node long, found binary", 64).dropDuplicates(["node"]))
-    side = lambda end, name: sets.select(F.col("node").alias(end), F.col("found").alias(name))
+    wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"])
+    side = lambda end, name: wanted.select(F.col("node").alias(end), F.col("text").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     return durable(map_arrow(both, _verified, "a long, b long"))
 
