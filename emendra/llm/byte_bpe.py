@@ -28,17 +28,26 @@ ROWS = 8192
 REMEMBERED = 200_000
 
 
-#: Letters and numbers assigned after Unicode 16.0. The tables of the tiktoken library, whose
-#: results are to be matched, are of that version and take them for other symbols; the regex module knows them.
-NEWER = re.compile(
-    "[\U00000558\U0000058b-\U0000058c\U0000088f\U00000c5c\U00000cdc\U0000208f\U0000209d-\U0000209f\U0000a7ce-\U0000a7cf\U0000a7d2\U0000a7d4"
-    "\U0000a7dd\U0000a7e2\U0000a7f1\U0000ab6c-\U0000ab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
-    "\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
-    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
-    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81"
-    "\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed"
-    "\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
-)
+def other_tables() -> dict[int, str]:
+    """Characters that the tiktoken library, whose results are to be matched, takes for another kind than the regex module does, and one that both take for that kind.
+
+    The two may have Unicode tables of different versions. Without the library there is nothing to match.
+    """
+    try:
+        import tiktoken
+    except ImportError:
+        return {}
+    import regex
+
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    found: dict[int, str] = {}
+    for kind, example in ((r"\p{L}", "\u00e9"), (r"\p{N}", "\u00b2"), (r"\s", "\u2003")):
+        probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs, ours = set(probe.decode(probe.encode_ordinary(every))), set(regex.findall(kind, every))
+        # a private-use character is another symbol in any version
+        found |= {ord(c): found.get(ord(c), "\ue000") for c in ours - theirs}
+        found |= {ord(c): example for c in theirs - ours}
+    return found
 
 
 def splitter(pattern: str):
@@ -46,11 +55,17 @@ def splitter(pattern: str):
     import regex
 
     compiled = regex.compile(pattern)
+    tables: dict[int, str] | None = None
+    other = None
 
     def split(text: str) -> list[str]:
-        if not text.isascii() and NEWER.search(text):
-            # a private-use character is another symbol in any version
-            return [text[m.start() : m.end()] for m in compiled.finditer(NEWER.sub("\ue000", text))]
+        nonlocal tables, other
+        if not text.isascii():
+            if tables is None:
+                tables = other_tables()
+                other = re.compile("[" + "".join(re.escape(chr(c)) for c in tables) + "]") if tables else None
+            if other and other.search(text):
+                return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(tables))]
         return compiled.findall(text)
 
     return split

@@ -2,7 +2,7 @@
 
 A Misra-Gries summary, merged level by level, names the few digests that may be
 very frequent. Their winners are computed exactly, broadcast (at most
-`counters` rows) and resolve their copies where these are read; all other
+`counters` rows, a number that grows with the table up to 65,536) and resolve their copies where these are read; all other
 digests go through an ordinary shuffle with map-side combining. So one text
 that makes up a third of the corpus never meets in one task.
 """
@@ -19,6 +19,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from emendra.llm.common import by_batch, durable, map_arrow
 
 SUMMARY = "text_sha256 string, n long"
+#: Rows of one digest that may meet in a task, about, and counters of the summary, which follow from it.
+ROWS, LEAST_COUNTERS, MOST_COUNTERS = 1_000_000, 256, 1 << 16
 
 
 def misra_gries(counts: dict, key, n: int, counters: int) -> None:
@@ -82,9 +84,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def heavy_candidates(hashed: DataFrame, counters: int, fan_in: int = 32) -> list[str]:
-    """At most `counters` digests; every digest of over 1/(counters+1) of the rows is among them."""
+    """At most `counters` digests; every digest of over 1/(counters+1) of the rows is among them. Summaries merge `fan_in` at a time."""
     level = map_arrow(hashed.select("text_sha256"), _summarise(counters, False), SUMMARY)
-    for parts in (fan_in, 1):
+    parts = level.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // fan_in)
         level = map_arrow(level.repartition(parts), _summarise(counters, True), SUMMARY)
     return [r.text_sha256 for r in level.collect()]
 
@@ -94,7 +98,7 @@ def _decide(winner: Column, size: Column) -> list[Column]:
     return [F.col("doc_id"), winner["doc_id"].alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("text_sha256")]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the
@@ -103,6 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; further columns are ignored.
     """
     hashed = durable(digests(docs, id_col, text_col))
+    counters = counters or min(MOST_COUNTERS, max(LEAST_COUNTERS, hashed.count() // ROWS))
     best = [F.max(F.struct("doc_id", "rid")).alias("winner"), F.count(F.lit(1)).alias("size")]
     likely = heavy_candidates(hashed, counters)
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendra.llm.common import by_batch, durable, map_arrow
+from emendra.llm.common import by_batch, durable, join_counted, map_arrow
 from emendra.llm.components import connected_components
 
 BITS = 64
@@ -237,17 +237,18 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket:
     """(doc_id, fp, component_id): each document's fingerprint and the smallest id linked with it, directly or over others.
 
     Null and empty texts have fingerprint 0 and are linked like any other.
-    Repeated rows fall together; a null id never names a component of others;
+    Repeated rows fall together; a null id never names a component of others
+    (one of rows without ids has none);
     an empty table gives an empty result; further columns are ignored.
     """
     prints = durable(fingerprints(docs, shingle))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     nodes = connected_components(hamming_links(distinct.select("fp"), radius, bucket))
-    # component of fingerprints to the smallest document id in it
-    placed = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # component of fingerprints to the smallest document id in it; large components and frequent fingerprints meet in no one task
+    placed = durable(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), "first"))
+    least = durable(placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = durable(join_counted(placed.select("fp", "n", "component"), least, ["component"], "members").select("fp", "n", "component_id"))
+    return join_counted(prints, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def simhash_digests(docs: DataFrame) -> DataFrame:
