@@ -1,7 +1,8 @@
 """Command line: python -m emendra [compare|text|simple-text|markdown|json|stats|guide] SOURCE TEST.
 
-SOURCE and TEST are texts or paths of text or PDF files. Exit codes: 0 there
-are changes, 1 there are none, 2 error.
+SOURCE and TEST are texts or paths of text or PDF files. With --edit-distance
+the figures hold the Levenshtein distance, which takes time in proportion to the
+product of both lengths. Exit codes: 0 there are changes, 1 there are none, 2 error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def _parser() -> argparse.ArgumentParser:
         own.add_argument("test")
         if name in ("compare", "json"):
             own.add_argument("-p", "--pretty", action="store_true")
+        if name in ("compare", "json", "text", "stats"):
+            own.add_argument("-e", "--edit-distance", action="store_true")
         if name in ("text", "markdown", "stats"):
             own.add_argument("-q", "--quiet", action="store_true")
         if name == "markdown":
@@ -55,17 +58,25 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "guide":
         print(_guide())
         return 0
-    from emendra.facade import TextDiff
-    from emendra.sources.text_files import read_input
+    from pyspark.errors import PySparkException
 
-    spark = _spark()
     try:
-        texts = [read_input(spark, x) for x in (args.source, args.test)]
+        return _compare(args)
     except ValueError as e:
         print(f"Error: {e}", file=sys.stderr)
-        return 2
+    except (PySparkException, OSError) as e:
+        print(f"Error: The comparison failed.\n\nCause: {str(e).splitlines()[0]}\n\nTo fix: check that both inputs can be read.", file=sys.stderr)
+    return 2
+
+
+def _compare(args: argparse.Namespace) -> int:
+    from emendra.facade import TextDiff
+    from emendra.sources.text_files import read_input
+
+    spark = _spark()
+    texts = [read_input(spark, x) for x in (args.source, args.test)]
     options = {"markdown_style": args.markdown_style} if args.command == "markdown" else {}
-    diff = TextDiff(*texts, spark=spark, **options)
+    diff = TextDiff(*texts, spark=spark, levenshtein=getattr(args, "edit_distance", False), **options)
     stats = diff.stats().asDict()
     if args.command in ("compare", "json"):
         print(diff.output_json(args.pretty))

@@ -13,9 +13,11 @@ MARK = "¶"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed patterns: a token keeps the white space that follows it; a paragraph ends at newlines with blanks between them.
 TOKEN = rf"((?:[^(){SPACE}]+|[().?!-])[{SPACE}]*)"
+KEY = rf"[^(){SPACE}]+|[().?!-]"
 PARAGRAPH_END = r"(?:\n *)+"
 
 _TOKEN = re.compile(TOKEN)
+_KEY = re.compile(KEY)
 _PARAGRAPH_END = re.compile(PARAGRAPH_END)
 
 
@@ -39,6 +41,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
+def keys(text: Column) -> Column:
+    """What the tokens of a text are matched by, in one pass: tokens without the white space after them."""
+    return F.regexp_extract_all(text, F.lit(KEY), F.lit(0))
+
+
 def normalize(tokens: Column) -> Column:
     """What tokens are matched by."""
     return F.transform(tokens, strip)
@@ -69,6 +76,10 @@ def plain_tokenize(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+def plain_keys(text: str) -> list[str]:
+    return _KEY.findall(text)
+
+
 def plain_mark_sentences(text: str, splitter: Callable[[str], list]) -> str:
     """Sentences joined by a mark. A splitter may give texts, or tuples that begin with one."""
     found = [s[0] if isinstance(s, tuple) else s for s in splitter(text)]

@@ -24,11 +24,16 @@ Prepare = Callable[[str], str]
 Processor = Callable[[str, str], tuple[list[str], list[str], list[tuple[str, int, int, int, int]]]]
 
 
-def match_tokens(source: list[str], test: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """Ratcliff/Obershelp operations on stripped tokens, by the standard library's matcher with its defaults."""
+def match_keys(source: list[str], test: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Ratcliff/Obershelp operations, by the standard library's matcher with its defaults."""
     from difflib import SequenceMatcher
 
-    return SequenceMatcher(None, [t.strip() for t in source], [t.strip() for t in test]).get_opcodes()
+    return SequenceMatcher(None, source, test).get_opcodes()
+
+
+def match_tokens(source: list[str], test: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Operations on stripped tokens."""
+    return match_keys([t.strip() for t in source], [t.strip() for t in test])
 
 
 def whole_document(source: str, test: str):
@@ -65,6 +70,38 @@ def _udf(processor: Processor):
     return F.pandas_udf(run, DIFF).asNondeterministic()
 
 
+TAGS = ("equal", "delete", "insert", "replace")
+
+
+def _flat_ops(source: pd.Series, test: pd.Series) -> pd.Series:
+    import numpy as np
+
+    def flat(a: str | None, b: str | None):
+        if a is None or b is None:
+            return None
+        left, right = (T.plain_keys(T.plain_mark_paragraphs(x)) for x in (a, b))
+        return np.array([(TAGS.index(tag), *ends) for tag, *ends in match_keys(left, right)], np.int32).ravel()
+
+    return pd.Series([flat(a, b) for a, b in zip(source, test)], dtype=object)
+
+
+def pair_ops(pairs: DataFrame) -> DataFrame:
+    """`pairs` (with source and test) and their ops alone: what `diff_pairs` finds, without sending tokens back."""
+    from emendra.session import attach
+
+    attach(pairs.sparkSession)
+    flat = F.pandas_udf(_flat_ops, "array<int>").asNondeterministic()
+    same = F.col("source") == F.col("test")
+    n = F.size(T.keys(T.mark_paragraphs(F.when(same, F.col("source")))))
+    own = F.when(n > 0, F.array(F.lit(0), F.lit(0), n, F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+    found = pairs.withColumn("_o", flat(F.when(~same, F.col("source")), F.when(~same, F.col("test")))).withColumn("_o", F.when(same, own).otherwise(F.col("_o")))
+    names = F.array(*map(F.lit, TAGS))
+    at = lambda k, n: F.element_at("_o", k * 5 + n)
+    op = lambda k: F.struct(F.element_at(names, at(k, 1) + 1).alias("tag"), *[at(k, n).alias(c) for n, c in ((2, "i1"), (3, "i2"), (4, "j1"), (5, "j2"))])
+    places = F.when(F.size("_o") > 0, F.sequence(F.lit(0), (F.size("_o") / 5).cast("int") - 1)).when(F.col("_o").isNotNull(), F.array().cast("array<int>"))
+    return found.select(*pairs.columns, F.transform(places, op).alias("ops"))
+
+
 def diff_pairs(pairs: DataFrame, processor: Processor | None = None) -> DataFrame:
     """`pairs` (with source and test) and their source_tokens, test_tokens and ops; all three are null if a side is."""
     from emendra.session import attach

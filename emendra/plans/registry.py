@@ -39,14 +39,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, conv_id, turn, source, test), dealt out evenly: matching is the costly part, and files are few."""
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("test"))
-    pairs = turns.withColumnRenamed("text", "source").join(following, ["conv_id", "turn"])
-    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "conv_id", "turn", "source", "test").repartition("id")
+    """(id, conv_id, turn, source, test), dealt out evenly: matching is the costly part, and files are few.
 
+    Both sides are dealt out by the join's keys, which spread a long conversation, and stay so.
+    """
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("test")).repartition(parts, "conv_id", "turn")
+    pairs = turns.withColumnRenamed("text", "source").repartition(parts, "conv_id", "turn").hint("merge").join(following, ["conv_id", "turn"])
+    return pairs.select(F.concat_ws("/", "conv_id", "turn").alias("id"), "conv_id", "turn", "source", "test")
 
-TURNS = "SELECT CAST(a.conv_id * 1000 + a.turn AS BIGINT) AS id, a.text AS source, b.text AS test FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+TURNS = "SELECT a.conv_id || '/' || a.turn AS id, a.text AS source, b.text AS test FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 OPS = f"WITH RECURSIVE {S.operations(TURNS)}"
 OPS_TEXTS = f"{OPS}, {S.TEXTS}"
 OPS_STATS = f"{OPS_TEXTS}, {S.STATS}"
@@ -118,7 +122,7 @@ def pdf_page_filter(spark, sf_dir):
 HEX = ["48656c6c6f", "e9e8", "c3a9", "", "f09f8c8d", "c080", "eda080", "e4b896e7"]
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {str(ok).lower()})" for h, ok in zip(HEX, (True, False, True, True, True, False, False, False))) + ") v(bytes, is_valid)")
+@_query("SELECT bytes, TRY(decode(unhex(bytes))) IS NOT NULL AS is_valid FROM (VALUES " + ", ".join(f"('{h}')" for h in HEX) + ") v(bytes)")
 def utf8_status(spark, sf_dir):
     from emendra.sources.text_files import decoded
 
@@ -161,6 +165,10 @@ def _tokens(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.tokenize(T.mark_paragraphs(F.col("text"))).alias("tokens"))
 
 
+def _keys(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.keys(T.mark_paragraphs(F.col("text"))).alias("keys"))
+
+
 @_query(f"SELECT doc_id, sha256(array_to_string(ts, chr(10))) AS digest, CAST(len(ts) AS INTEGER) AS n FROM ({DOC_TOKENS})")
 def tokenize(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", F.sha2(F.array_join("tokens", "\n"), 256).alias("digest"), F.size("tokens").alias("n"))
@@ -173,7 +181,7 @@ def token_count(spark, sf_dir):
 
 @_query(f"SELECT token, count(*) AS n FROM (SELECT unnest({S.keys('ts')}) AS token FROM ({DOC_TOKENS})) GROUP BY token")
 def token_freq(spark, sf_dir):
-    return _tokens(spark, sf_dir).select(F.explode(T.normalize(F.col("tokens"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _keys(spark, sf_dir).select(F.explode("keys").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"SELECT doc_id, sha256(array_to_string({S.keys('ts')}, ' ')) AS digest FROM ({DOC_TOKENS})")
@@ -181,9 +189,11 @@ def normalized_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).select("doc_id", F.sha2(F.array_join(T.normalize(F.col("tokens")), " "), 256).alias("digest"))
 
 
-@_query(f"SELECT doc_id, {S.joined('ts', '2', '7')} AS text FROM ({DOC_TOKENS})")
+@_query(f"SELECT doc_id, {S.joined('ts', '2', '7')} AS some, sha256({S.joined('ts', '0', 'len(ts)')}) AS whole FROM ({DOC_TOKENS})")
 def join_tokens(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("doc_id", T.join_tokens(F.col("tokens"), F.lit(2), F.lit(7)).alias("text"))
+    """Six tokens, and all of them."""
+    some, whole = T.join_tokens(F.col("tokens"), F.lit(2), F.lit(7)), T.join_tokens(F.col("tokens"), F.lit(0), F.size("tokens"))
+    return _tokens(spark, sf_dir).select("doc_id", some.alias("some"), F.sha2(whole, 256).alias("whole"))
 
 
 SENTENCES = [("One. Two.", "One. ¶ Two."), ("Only one", "Only one"), ("Is it? Yes!", "Is it? ¶ Yes!"), ("See Dr. Smith. He left.", "See Dr. Smith. ¶ He left."), ("", "")]
@@ -199,6 +209,51 @@ def sentence_mark(spark, sf_dir):
 # --- differences
 
 
+@_query(f"{OPS} SELECT id, n, tag, i1, i2, j1, j2 FROM ops")
+def diff_ops_alone(spark, sf_dir):
+    """Operations without tokens."""
+    found = D.pair_ops(turn_pairs(spark, sf_dir)).select("id", F.posexplode("ops").alias("n", "op"))
+    return found.select("id", (F.col("n") + 1).alias("n"), "op.tag", "op.i1", "op.i2", "op.j1", "op.j2")
+
+
+#: Sentences as a splitter that SQL can say too finds them: cut after each stop with a blank behind.
+MARKED_TURNS = f"SELECT id, regexp_replace(source, '([.!?]) ', '\\1 ¶ ', 'g') AS source, regexp_replace(test, '([.!?]) ', '\\1 ¶ ', 'g') AS test FROM (SELECT id, {S.strip(S.one_line('source'))} AS source, {S.strip(S.one_line('test'))} AS test FROM ({TURNS}))"
+
+
+def _after_stops(text: str) -> list[str]:
+    import re
+
+    return re.split(r"(?<=[.!?]) ", text)
+
+
+@_query(f"WITH RECURSIVE {S.operations(MARKED_TURNS)} SELECT id, n, tag, i1, i2, j1, j2 FROM ops")
+def diff_sentences(spark, sf_dir):
+    """Turns on one line each, compared by sentences that a custom splitter finds."""
+    line = lambda c: T.strip(F.regexp_replace(c, rf"[{T.SPACE}]+", " ")).alias(c)
+    pairs = turn_pairs(spark, sf_dir).select("id", line("source"), line("test"))
+    found = D.diff_pairs(pairs, D.by_sentence(_after_stops)).select("id", F.posexplode("ops").alias("n", "op"))
+    return found.select("id", (F.col("n") + 1).alias("n"), "op.tag", "op.i1", "op.i2", "op.j1", "op.j2")
+
+
+@_query(f"{OPS} SELECT id, n, tag, i1, i2, j1, j2 FROM ops")
+def diff_ops_sql(spark, sf_dir):
+    """By the SQL function."""
+    from emendra.functions.sql import register
+
+    register(spark)
+    found = turn_pairs(spark, sf_dir).selectExpr("id", "diff_ops(source, test) AS d").select("id", F.posexplode("d.ops").alias("n", "op"))
+    return found.select("id", (F.col("n") + 1).alias("n"), "op.tag", "op.i1", "op.i2", "op.j1", "op.j2")
+
+
+@_query(f"{OPS_TEXTS} SELECT id, tag AS operation, CASE WHEN tag <> 'insert' THEN s END AS source_text, CASE WHEN tag <> 'delete' THEN t END AS test_text FROM texts WHERE tag <> 'equal'")
+def text_changes_sql(spark, sf_dir):
+    """By the table function."""
+    from emendra.functions.sql import register
+
+    register(spark)
+    return spark.sql("SELECT id, c.operation, c.source_text, c.test_text FROM {pairs}, LATERAL text_changes(source, test) c", pairs=turn_pairs(spark, sf_dir))
+
+
 @_query(f"{OPS} SELECT id, n, tag, i1, i2, j1, j2 FROM ops")
 def diff_opcodes(spark, sf_dir):
     found = _turn_diffs(spark, sf_dir).select("id", F.posexplode("ops").alias("n", "op"))
@@ -231,20 +286,20 @@ PLANTED = f"""
 
 def planted_pairs(spark, sf_dir):
     """Documents with tokens made unique by their place, and an edited copy; joined by blanks."""
-    keys = F.transform(T.normalize(F.col("tokens")), lambda x: F.replace(F.replace(x, F.lit("("), F.lit("")), F.lit(")"), F.lit("")))
+    keys = F.transform("keys", lambda x: F.replace(F.replace(x, F.lit("("), F.lit("")), F.lit(")"), F.lit("")))
 
     def edited(k, i):
         place = i.cast("string")
         kept = F.when(i % 11 == 3, F.array().cast("array<string>")).when(i % 7 == 2, F.array(F.concat(F.lit("new"), place))).otherwise(F.array(F.concat(place, F.lit("_"), k)))
         return F.concat(kept, F.when(i % 13 == 5, F.array(F.concat(F.lit("ins"), place))).otherwise(F.array().cast("array<string>")))
 
-    rows = _tokens(spark, sf_dir).select("doc_id", keys.alias("keys"))
+    rows = _keys(spark, sf_dir).select("doc_id", keys.alias("keys"))
     return rows.select("doc_id", F.array_join(F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit("_"), k)), " ").alias("source"), F.array_join(F.flatten(F.transform("keys", edited)), " ").alias("test")).repartition("doc_id")
 
 
 @_query(f"WITH {PLANTED} SELECT doc_id, tag, i1, i2, j1, j2 FROM po")
 def diff_opcodes_planted(spark, sf_dir):
-    return D.diff_pairs(planted_pairs(spark, sf_dir)).select("doc_id", F.inline("ops"))
+    return D.pair_ops(planted_pairs(spark, sf_dir)).select("doc_id", F.inline("ops"))
 
 
 @_query(f"""WITH {PLANTED} SELECT d.doc_id, CAST(count(tag) FILTER (tag <> 'equal') AS INTEGER) AS total_changes, CAST(count(*) FILTER (tag = 'delete') AS INTEGER) AS deletions,
@@ -323,7 +378,7 @@ def changes_by_operation(spark, sf_dir):
     return P.by_operation(C.with_changes(_turn_diffs(spark, sf_dir)))
 
 
-@_query(f"{OPS_STATS} SELECT coalesce(role, '(all)') AS role, CAST(coalesce(turn, -1) AS BIGINT) AS turn, count(*) AS pairs, CAST(sum(total_changes) AS BIGINT) AS changes FROM stats JOIN conversations ON id = conv_id * 1000 + turn GROUP BY ROLLUP (role, turn)")
+@_query(f"{OPS_STATS} SELECT coalesce(role, '(all)') AS role, CAST(coalesce(turn, -1) AS BIGINT) AS turn, count(*) AS pairs, CAST(sum(total_changes) AS BIGINT) AS changes FROM stats JOIN conversations ON id = conv_id || '/' || turn GROUP BY ROLLUP (role, turn)")
 def stats_rollup(spark, sf_dir):
     roles = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     found = _turn_stats(spark, sf_dir).select("conv_id", "turn", "stats.total_changes").join(roles, ["conv_id", "turn"])
@@ -402,7 +457,7 @@ def ci_summary(spark, sf_dir):
 
 # --- versions: the turns of a conversation as versions of a document
 
-VERSIONS = f"{OPS_STATS}, v AS (SELECT conv_id AS doc, turn AS version, coalesce(total_changes, 0) AS total_changes, coalesce(change_ratio, 0.0) AS change_ratio FROM conversations LEFT JOIN stats ON id = conv_id * 1000 + turn - 1 AND turn > 0)"
+VERSIONS = f"{OPS_STATS}, v AS (SELECT conv_id AS doc, turn AS version, coalesce(total_changes, 0) AS total_changes, coalesce(change_ratio, 0.0) AS change_ratio FROM conversations LEFT JOIN stats ON id = conv_id || '/' || (turn - 1) AND turn > 0)"
 
 
 def _versions(spark, sf_dir):
@@ -481,15 +536,35 @@ def stats_text(spark, sf_dir):
     return _turn_stats(spark, sf_dir).select("id", R.stats_text().alias("text"))
 
 
-FIGURE = "'<div class=\"stat\"><span class=\"stat-label\">{}</span><span class=\"stat-value\">' || {} || '</span></div>'"
+FIGURE = "'<dt>{}</dt><dd>' || {} || '</dd>'"
+PER_MILLE = "CAST(floor(change_ratio * 1000) AS BIGINT)"
+SECTION = " || ".join(FIGURE.format(*x) for x in (("edits", "total_changes"), ("taken out", "deletions"), ("put in", "insertions"), ("swapped", "replacements"), ("longer by", "chars_net_change"), ("per mille touched", PER_MILLE)))
 
 
 @_query(f"""{OPS_STATS}, md AS (SELECT id, string_agg(shown, '' ORDER BY n) AS markdown FROM (SELECT id, n, {S.rendered(*R.MARKUP['none'])} AS shown FROM texts) GROUP BY id)
-        SELECT id, '<div class="file"><div class="file-header"><h3>' || id || '</h3>' || CASE WHEN total_changes = 0 THEN '<span class="badge badge-success">No Changes</span>' ELSE '<span class="badge badge-warning">' || total_changes || ' Changes</span>' END || '</div><div class="file-stats">'
-        || {FIGURE.format('Insertions', 'insertions')} || {FIGURE.format('Deletions', 'deletions')} || {FIGURE.format('Replacements', 'replacements')} || {FIGURE.format('Net Change', "CASE WHEN chars_net_change >= 0 THEN '+' ELSE '' END || chars_net_change || ' chars'")} || '</div>'
-        || CASE WHEN total_changes = 0 THEN '<div class="no-changes">Files are identical</div>' ELSE '<div class="diff-content">' || markdown || '</div>' END || '</div>' AS section FROM stats JOIN md USING (id)""")
+        SELECT id, '<section class="' || CASE WHEN total_changes = 0 THEN 'same' ELSE 'edited' END || '"><h2>' || id || '</h2><dl>' || {SECTION} || '</dl>'
+        || CASE WHEN total_changes = 0 THEN '<p>Nothing differs.</p>' ELSE '<blockquote>' || markdown || '</blockquote>' END || '</section>' AS section FROM stats JOIN md USING (id)""")
 def html_section(spark, sf_dir):
-    """Without the ratio, which the two engines print differently."""
-    found = _turn_stats(spark, sf_dir).withColumn("markdown", R.markdown("none")).withColumn("path", F.col("id").cast("string"))
-    section = R.html_section()
-    return found.select("id", F.regexp_replace(section, r'<div class="stat"><span class="stat-label">Change Ratio</span><span class="stat-value">[^<]*</span></div>', "").alias("section"))
+    found = _turn_stats(spark, sf_dir).withColumn("markdown", R.markdown("none")).withColumn("path", F.col("id"))
+    return found.select("id", R.html_section().alias("section"))
+
+
+@_query(f"""{OPS_STATS} SELECT id, concat('| ', total_changes, ' | ', {PER_MILLE}, ' | ', deletions, ' | ', insertions, ' | ', replacements, ' | ', id, ' |') AS line FROM stats WHERE total_changes > 0""")
+def ci_lines(spark, sf_dir):
+    return _turn_stats(spark, sf_dir).where("stats.total_changes > 0").select("id", P.ci_line("id").alias("line"))
+
+
+PANEL = " || chr(10) || ".join(f"'│ ' || rpad('{name}', 22, ' ') || rpad(CAST({value} AS VARCHAR), 14, ' ') || ' │'" for name, value in (("Total Changes", "total_changes"), ("Deletions", "deletions"), ("Insertions", "insertions"), ("Replacements", "replacements"), ("Characters Added", "'+' || chars_added"), ("Characters Deleted", "'-' || chars_deleted"), ("Net Change", "chars_net_change"), ("Change Ratio", "printf('%.1f%%', change_ratio * 100)")))
+
+
+@_query(f"{OPS_STATS} SELECT id, '╭─ Statistics ' || repeat('─', 25) || '╮' || chr(10) || {PANEL} || chr(10) || '╰' || repeat('─', 38) || '╯' AS panel FROM stats")
+def stats_panel(spark, sf_dir):
+    return _turn_stats(spark, sf_dir).select("id", R.stats_panel().alias("panel"))
+
+
+ANSI_OF = "CASE style " + " ".join(f"WHEN '{k}' THEN {S.quoted(v)}" for k, v in R.ANSI.items()) + " END"
+
+
+@_query(f"{OPS_TEXTS} SELECT id, string_agg(CASE WHEN style IS NULL THEN text ELSE {ANSI_OF} || text || chr(27) || '[0m' END, '' ORDER BY n, k) AS shown FROM ({SPAN_SQL}) GROUP BY id")
+def ansi_spans(spark, sf_dir):
+    return _turn_diffs(spark, sf_dir).select("id", R.ansi(R.spans()).alias("shown")).where("shown != ''")

@@ -26,6 +26,10 @@ def keys(x: str) -> str:
     return f"list_transform({x}, lambda t: {strip('t')})"
 
 
+def one_line(x: str) -> str:
+    return rf"regexp_replace({x}, '[{SPACE}]+', ' ', 'g')"
+
+
 def joined(x: str, start: str, end: str) -> str:
     return f"coalesce(array_to_string({x}[{start}+1:{end}], ''), '')"
 

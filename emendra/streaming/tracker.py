@@ -32,7 +32,7 @@ def _compared(before: str | None, now: str) -> tuple[int, float]:
 def _track(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, text = state.get if state.exists else (-1, None)
     rows = []
-    for row in pd.concat(list(parts)).sort_values("version").itertuples():
+    for row in pd.concat(list(parts)).dropna(subset=["version"]).sort_values("version").itertuples():
         if row.version <= last:
             continue
         changes, ratio = _compared(text, row.text or "")
@@ -46,7 +46,10 @@ def track_versions(versions: DataFrame) -> DataFrame:
     """(doc, version, total_changes, change_ratio) for a stream of (doc string, version long, text): each version against the one before.
 
     The state of a document is its last version and text. A version that is
-    not newer than the last one seen is ignored; a first version has 0 changes.
+    not newer than the last one seen is ignored, as is one without a number; a
+    first version has 0 changes. Versions of a document that come in one
+    micro-batch are put in order, so they must fit a task: bound the batch by
+    the source's options (such as maxFilesPerTrigger).
     """
     from emendra.session import attach
 

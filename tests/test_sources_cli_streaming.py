@@ -81,6 +81,25 @@ def test_command_errors(spark, tmp_path, capsys):
     assert e.value.code == 2
 
 
+def test_edit_distance_and_unreadable_inputs(spark, capsys, monkeypatch):
+    import json
+
+    assert main(["json", "-e", "kitten", "sitting"]) == 0
+    assert json.loads(capsys.readouterr().out)["stats"]["levenshtein_distance"] == 3
+    assert main(["stats", "-q", "--edit-distance", "kitten", "sitting"]) == 0
+    assert "Levenshtein Distance: 3" in capsys.readouterr().out
+    from pyspark.errors import PySparkRuntimeError
+
+    from emendra.sources import text_files
+
+    def broken(spark, given):
+        raise PySparkRuntimeError("a block is lost")
+
+    monkeypatch.setattr(text_files, "read_input", broken)
+    assert main(["text", "a", "b"]) == 2
+    assert "Cause: a block is lost" in capsys.readouterr().err
+
+
 def test_pairing_and_summaries(spark):
     old = spark.createDataFrame([("a", FOX), ("b", "same"), ("c", "gone"), (None, "x")], "key string, text string")
     new = spark.createDataFrame([("a", WALKS), ("b", "same"), ("d", "new"), (None, "y")], "key string, text string")
@@ -92,11 +111,13 @@ def test_pairing_and_summaries(spark):
         P.compare_many(spark.createDataFrame([], "source string"), old)
     versions = spark.createDataFrame([("d", 2, WALKS), ("d", 1, FOX), ("d", 3, WALKS)], "doc string, version int, text string")
     assert [(r.version, r.total_changes, r.cumulative_changes) for r in P.version_stats(versions).orderBy("version").collect()] == [(1, 0, 0), (2, 1, 1), (3, 0, 1)]
-    assert P.ci_table([{"path": "p", "changes": 1, "change_ratio": 0.5, "insertions": 0, "deletions": 1, "replacements": 0}]).endswith("| `p` | 1 | 50.0% | +0 | -1 | ↻0 |\n")
+    figures = "struct<total_changes: int, change_ratio: double, deletions: int, insertions: int, replacements: int>"
+    rows = spark.createDataFrame([("p|q", (1, 0.5, 1, 0, 0)), ("a", (2, 0.0625, 0, 1, 1)), ("none", (0, 0.0, 0, 0, 0))], f"path string, stats {figures}")
+    assert P.ci_table(rows) == P.CI_HEAD + "| 2 | 62 | 0 | 1 | 1 | a |\n| 1 | 500 | 1 | 0 | 0 | p\\|q |\n"
 
 
 def test_streams(spark, tmp_path):
-    rows = [("d", 1, FOX), ("d", 2, WALKS), ("e", 1, "x"), ("d", 3, WALKS)]
+    rows = [("d", 1, FOX), ("d", 2, WALKS), ("e", 1, "x"), ("d", None, "y"), ("d", 3, WALKS)]
     schema = "doc string, version long, text string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
@@ -124,4 +145,4 @@ def test_html_report(spark, tmp_path):
     R.write_report(sections, P.report_summary(found), str(tmp_path / "report"))
     page = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
     assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</html>")
-    assert page.index("a.txt") < page.index("b.txt") and "Files are identical" in page and "<ins>walks past </ins>" in page and "total changes: 1" in page
+    assert page.index("a.txt") < page.index("b.txt") and "Nothing differs." in page and "<ins>walks past </ins>" in page and "total changes: 1" in page
