@@ -3,8 +3,9 @@
 A unigram model segments each pre-token into the pieces of greatest total
 score. Distinct pre-tokens go into a trie; the forward scores (best score of
 every prefix, and with how many pieces) belong to trie nodes, so a prefix that
-many pre-tokens share is computed once, and each terminal node stores its
-pre-token's count.
+many pre-tokens share is computed once. The terminal node of a pre-token stores
+its count, of pieces, and its score; texts refer to terminal nodes. Pre-tokens
+of over 128 bytes, which share little, have a terminal node without a path.
 
 The vocabulary is a public file of ranked byte tokens; a piece of rank r scores
 -log(r + 2), as by Zipf's law. All 256 bytes are pieces, so any text can be
@@ -35,35 +36,39 @@ def piece_scores(ranks_path: str) -> dict[bytes, float]:
 
 
 class TrieCounter:
-    """Counts of pre-tokens. Node k has score[k] and pieces[k], and its child by byte b is edges[256 * k + b]; terminal counts are kept by pre-token."""
+    """Counts of pre-tokens. Node k has score[k] and pieces[k], and its child by byte b is edges[256 * k + b]; `terminal` is the node of each whole pre-token."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.scores = piece_scores(ranks_path)
-        self.longest = max(map(len, self.scores))
+        # lengths of the pieces that end in two bytes, longest first; pieces of one byte fit anywhere
+        ends: dict[bytes, set[int]] = {}
+        for piece in self.scores:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], {1}).add(len(piece))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         self.split = splitter(pattern)
         self.clear()
 
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
         self.score, self.pieces = [0.0], [0]
-        self.counts: dict[str, int] = {}
-        self.totals: dict[str, float] = {}
+        self.terminal: dict[str, int] = {}
 
     def _forward(self, word: bytes, end: int, path: list[int], score: list[float], pieces: list[int]) -> tuple[float, int]:
         """Best score and least pieces of word[:end]; path[j] is where those of word[:j] are."""
         get = self.scores.get
         best, count = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            own = get(word[start:end])
-            if own is not None:
+        for length in self.lengths.get(word[end - 2 : end], (1,)) if end > 1 else (1,):
+            start = end - length
+            if start >= 0 and (own := get(word[start:end])) is not None:
                 before = path[start]
                 total = score[before] + own
                 if total > best or total == best and pieces[before] + 1 < count:
                     best, count = total, pieces[before] + 1
         return best, count
 
-    def insert(self, text: str) -> tuple[int, float]:
-        """Walk or grow the trie along a pre-token; its number of pieces and score."""
+    def insert(self, text: str) -> int:
+        """Walk or grow the trie along a pre-token; its terminal node."""
         word = text.encode("utf-8", "surrogatepass")
         if len(word) > LONG:
             score, pieces, path = [0.0], [0], list(range(len(word) + 1))
@@ -71,7 +76,9 @@ class TrieCounter:
                 best, count = self._forward(word, end, path, score, pieces)
                 score.append(best)
                 pieces.append(count)
-            return pieces[-1], score[-1]
+            self.score.append(score[-1])
+            self.pieces.append(pieces[-1])
+            return len(self.score) - 1
         edges, node, path = self.edges, 0, [0]
         for end, byte in enumerate(word, 1):
             following = edges.get(256 * node + byte)
@@ -82,17 +89,21 @@ class TrieCounter:
                 self.pieces.append(count)
             node = following
             path.append(node)
-        return self.pieces[node], self.score[node]
+        return node
 
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(pre-tokens, tokens, score) of each text."""
         words = [self.split(t) for t in texts]
-        if len(self.score) > NODES or len(self.counts) > NODES:
+        if len(self.score) > NODES or len(self.terminal) > NODES:
             self.clear()
-        counts, totals = self.counts, self.totals
-        for word in {w for own in words for w in own} - counts.keys():
-            counts[word], totals[word] = self.insert(word)
-        return [(len(own), sum(map(counts.__getitem__, own)), math.fsum(map(totals.__getitem__, own))) for own in words]
+        terminal = self.terminal
+        for word in {w for own in words for w in own} - terminal.keys():
+            terminal[word] = self.insert(word)
+        found = []
+        for own in words:
+            nodes = [terminal[w] for w in own]
+            found.append((len(own), sum(map(self.pieces.__getitem__, nodes)), math.fsum(map(self.score.__getitem__, nodes))))
+        return found
 
 
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
