@@ -245,3 +245,17 @@ def test_a_long_conversation_streams(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(400)]
     frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert [r.n_turns for r in chat_format.chat_digests(chat_format.chat_examples(frame)).collect()] == [400]
+
+
+def test_chat_of_equal_turns_null_ids_and_long_conversations(spark, monkeypatch):
+    """Equal turns go by role and text, null turns come first, rows without id are one conversation, and batches may be cut anywhere."""
+    monkeypatch.setattr(chat_format, "FLUSH_CHARS", 50)
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (5, None, "user", "first"), (5, 0, "assistant", "z"), (5, 0, "assistant", "y"), (5, 0, "assistant", "y")]
+    rows += [(9, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " * 20) for k in range(40)]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, formatted string").repartition(3)
+    got = {r.conv_id: r for r in chat_format.chat_digests(chat_format.chat_examples(turns)).collect()}
+    told = lambda own: sha("".join(f"{r}\n{t}\n" for r, t in own))
+    assert got[None].turns_sha256 == told([("user", "a"), ("assistant", "b")])
+    assert got[5].turns_sha256 == told([("user", "first"), ("assistant", "y"), ("assistant", "y"), ("assistant", "z")]) and got[5].loss_sha256 == sha("yyz")
+    assert got[9].n_turns == 40 and got[9].loss_sha256 == sha("".join(t for _, k, r, t in rows if r == "assistant" and "turn" in t))
+    assert len(got) == 3
