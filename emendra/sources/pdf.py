@@ -1,81 +1,16 @@
-"""Paged documents. The built-in extractor reads simple PDFs (text operators in plain or deflated streams); another can be given."""
+"""Paged documents. The built-in extractor reads PDFs as `pdf_text` says; another can be given."""
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES = "array<struct<page_number: int, text: string>>"
-
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.DOTALL)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\([^()]*\))*\)|<[0-9A-Fa-f\s]*>|\bT[dDmJj*]|'|\"|\bET\b", re.DOTALL)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _string(raw: bytes) -> str:
-    if raw[:1] == b"<":
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.DOTALL)
-    return data.decode("utf-16-be" if data[:2] == b"\xfe\xff" else "latin-1").lstrip("﻿")
-
-
-def _page_text(content: bytes) -> str:
-    lines: list[list[str]] = [[]]
-    for m in _SHOWN.finditer(content):
-        token = m[0]
-        if token[:1] in b"(<":
-            lines[-1].append(_string(token))
-        elif token in (b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"ET") and lines[-1]:
-            lines.append([])
-    return "\n".join("".join(x) for x in lines if x)
-
-
-def extract_pages(content: bytes) -> list[str]:
-    """Texts of the pages of a simple PDF, in order; a page without text is an empty one."""
-    if not content.startswith(b"%PDF"):
-        raise ValueError("not a PDF file")
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
-
-    def stream(number: int) -> bytes:
-        body = objects.get(number, b"")
-        found = _STREAM.search(body)
-        if not found:
-            return b""
-        return zlib.decompress(found[1]) if b"FlateDecode" in body else found[1]
-
-    pages = []
-    for number in _page_order(objects):
-        named = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[number])
-        parts = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", named[1])] if named else []
-        pages.append(_page_text(b"\n".join(map(stream, parts))))
-    return pages
-
-
-def _page_order(objects: dict[int, bytes]) -> list[int]:
-    is_page = lambda body: re.search(rb"/Type\s*/Page(?![a-zA-Z])", body)
-    roots = [n for n, b in objects.items() if re.search(rb"/Type\s*/Pages", b) and b"/Parent" not in b]
-    order: list[int] = []
-    todo, seen = roots[:1], set()
-    while todo:
-        number = todo.pop(0)
-        if number in seen or number not in objects:
-            continue
-        seen.add(number)
-        body = objects[number]
-        if is_page(body):
-            order.append(number)
-        elif kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
-            todo = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", kids[1])] + todo
-    return order or [n for n, b in sorted(objects.items()) if is_page(b)]
+from emendra.sources.pdf_text import extract_pages
 
+PAGES = "array<struct<page_number: int, text: string>>"
 
 def pages_of(texts: Column) -> Column:
     """Pages, numbered from 1, from an array of texts."""

@@ -81,6 +81,30 @@ def test_command_errors(spark, tmp_path, capsys):
     assert e.value.code == 2
 
 
+def test_pdf_with_packed_objects_fonts_and_spacing():
+    """A file as writers make them: objects in a stream, inherited fonts, a Unicode map of two-byte codes, and gaps for blanks."""
+    import base64
+    import zlib
+
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<65e5> <672c0021>] endbfrange"
+    one = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm <00100011> Tj <00030012> Tj 1 0 0 1 90 700 Tm <00200021> Tj 0 -14 Td [(\\000\\020) -50 (\\000\\021) -400 (\\000\\022)] TJ ET"
+    two = b"BT /F2 9 Tf 72 700 Td (caf\\351 \\223q\\224) Tj 50 0 Td (right) Tj T* [(un)20(der)-300(way)] TJ (next) ' ET"
+    packed = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>", b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R] >>", b"<< /Type /Page /Parent 2 0 R /Contents 9 0 R >>", b"<< /Type /Font /ToUnicode 7 0 R >>", b"<< /Type /Font /Encoding /WinAnsiEncoding >>"]
+    offsets, data = [], b""
+    for body in packed:
+        offsets.append(len(data))
+        data += body + b" "
+    head = b" ".join(b"%d %d" % (k, at) for k, at in enumerate(offsets, 1)) + b" "
+    stream = lambda k, extra, body: b"%d 0 obj << %s /Length %d >> stream\n%s\nendstream endobj\n" % (k, extra, len(body), body)
+    whole = b"%PDF-1.5\n" + stream(20, b"/Type /ObjStm /N 6 /First %d /Filter /FlateDecode" % len(head), zlib.compress(head + data)) + stream(7, b"", cmap)
+    whole += stream(8, b"/Filter [/FlateDecode]", zlib.compress(one)) + stream(9, b"/Filter /ASCII85Decode", base64.a85encode(two) + b"~>")
+    assert pdf.extract_pages(whole) == ["AB C 日本!\nAB C", "café “q” right\nunder way\nnext"]
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.extract_pages(whole + b"trailer << /Encrypt 9 0 R >>")
+    with pytest.raises(ValueError, match="DCTDecode"):
+        pdf.extract_pages(whole.replace(b"/ASCII85Decode", b"/DCTDecode"))
+
+
 def test_edit_distance_and_unreadable_inputs(spark, capsys, monkeypatch):
     import json
 
