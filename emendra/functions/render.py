@@ -168,6 +168,42 @@ def with_json(diffed: DataFrame, pretty: bool = False, levenshtein: bool = False
     return ready.withColumn("json", dumped(packed)).drop("_changes")
 
 
+def json_problems(column: str = "json") -> Column:
+    """What is wrong with a document of the JSON form, as an array of texts: it must be readable, each change must have what its kind has and no more, and the figures must agree."""
+    whole = F.from_json(column, JSON_SCHEMA)
+    changes, stats = whole["changes"], whole["stats"]
+    sides = {"equal": ("source", "test"), "delete": ("source",), "insert": ("test",), "replace": ("source", "test")}
+
+    def fits(c: Column, kind: str) -> Column:
+        own = F.lit(True)
+        for side in ("source", "test"):
+            for name in (f"{side}_position", f"{side}_token_position"):
+                there = (F.size(c[name]) == 2) & (c[name][0] <= c[name][1])
+                own = own & (F.coalesce(there, F.lit(False)) if side in sides[kind] else c[name].isNull())
+        for name in ("text", "source_text", "test_text"):
+            own = own & (c[name].isNotNull() if (name != "text") == (kind == "replace") else c[name].isNull())
+        return own
+
+    def problem(c: Column, k: Column) -> Column:
+        at = F.concat(F.lit("change "), k.cast("string"))
+        wrong = F.when(~F.coalesce(c["type"].isin(*sides), F.lit(False)), F.concat(at, F.lit(": unknown type")))
+        for kind in sides:
+            wrong = wrong.when((c["type"] == kind) & ~fits(c, kind), F.concat(at, F.lit(f": not what {kind} has")))
+        return wrong
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(changes, lambda c: c["type"] == kind))
+
+    figures = [
+        F.when(stats[name].isNull() | (stats[name] != count(kind)), F.lit(f"{name}: not the number of changes"))
+        for name, kind in (("deletions", "delete"), ("insertions", "insert"), ("replacements", "replace"), ("unchanged", "equal"))
+    ]
+    figures.append(F.when(stats["total_changes"] != stats["deletions"] + stats["insertions"] + stats["replacements"], F.lit("total_changes: not the sum of its kinds")))
+    figures.append(F.when(stats["chars_net_change"] != stats["chars_added"] - stats["chars_deleted"], F.lit("chars_net_change: not the difference")))
+    found = F.filter(F.concat(F.transform(changes, problem), F.array(*figures)), lambda x: x.isNotNull())
+    return F.when(whole.isNull() | changes.isNull() | stats.isNull(), F.array(F.lit("not readable"))).otherwise(found)
+
+
 def plain_stats_text(s: dict) -> str:
     """Statistics as lines of text."""
     lines = [

@@ -120,6 +120,29 @@ def test_operations_alone_equal_those_with_tokens(spark):
     assert all(r.k == r.n for r in keys)
 
 
+def test_json_is_checked_by_kind(spark):
+    good = [r.json for r in run(spark, [(FOX, WALKS), (FOX, FOX), ("a b", ""), ("", "x"), ("A B C D E", "A X C E F")]).values()]
+
+    def broken(edit):
+        whole = json.loads(good[4])
+        edit(whole)
+        return json.dumps(whole)
+
+    kinds = [c["type"] for c in json.loads(good[4])["changes"]]
+    bad = [
+        "{",
+        broken(lambda w: w["changes"][0].update(type="move")),
+        broken(lambda w: w["changes"][kinds.index("equal")].update(test_position=None)),
+        broken(lambda w: w["changes"][kinds.index("delete")].update(test_position=[1, 2])),
+        broken(lambda w: w["changes"][kinds.index("replace")].update(text="x")),
+        broken(lambda w: w["stats"].update(insertions=9)),
+        broken(lambda w: w["stats"].update(chars_net_change=99)),
+    ]
+    rows = spark.createDataFrame(list(enumerate(good + bad)), "id int, json string").select("id", R.json_problems().alias("p")).orderBy("id").collect()
+    assert [r.p for r in rows[: len(good)]] == [[]] * len(good)
+    assert all(r.p for r in rows[len(good) :]) and rows[len(good)].p == ["not readable"]
+
+
 def test_nulls_and_repeated_pairs(spark):
     frame = spark.createDataFrame([(1, None, "a"), (2, "a", None), (3, FOX, WALKS), (4, FOX, WALKS), (5, None, None)], "id int, source string, test string")
     found = {r.id: r for r in C.with_changes(D.diff_distinct(frame)).withColumn("stats", C.stats()).collect()}
