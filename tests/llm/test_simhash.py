@@ -89,3 +89,10 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3), (5, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(50)}
+
+
+def test_null_ids_name_no_component_of_others(spark):
+    rows = [(None, "one two three four"), (5, "one two three four"), (9, "ONE two three four"), (None, "quite another text"), (None, None), (3, ""), (None, "lone")]
+    got = sorted(map(str, simhash.simhash_classes(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")).select("doc_id", "component_id").collect()))
+    want = [(None, 5), (5, 5), (9, 5), (None, None), (None, 3), (3, 3), (None, None)]
+    assert got == sorted(f"Row(doc_id={a}, component_id={b})" for a, b in want)
