@@ -224,7 +224,8 @@ def encoder(ranks_path: str, pattern: str) -> SegmentTreeBpe:
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): every text as token ids; ids is binary, little-endian unsigned 32-bit.
 
-    Null and empty texts have no tokens. Every row is encoded on its own, so
+    Null and empty texts have no tokens, null ids stay null, an empty table gives an
+    empty result. Every row is encoded on its own, so
     repeated rows give repeated results; further columns are ignored.
     """
 

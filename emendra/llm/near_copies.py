@@ -14,10 +14,11 @@ Candidates come from two searches, and every one is verified on its whole sets:
    Up All Pairs Similarity Search" (2007).
 
 Texts that share a shingle are paired up in groups of up to `group`. In a larger
-group each is compared to one of the group, in rounds; groups that have fallen
-into one component are done, and only texts in different ones are paired up in
-the end. So a large group of near copies costs a few comparisons a text. A
-shingle of very many texts is dealt to several tasks.
+group each is compared to one of the group, then in rounds to HUBS others that
+are in other components; groups that have fallen into one component are done,
+and only texts in different ones are paired up in the end. So a large group of
+near copies costs some comparisons a text. A shingle of very many texts is dealt
+to several tasks.
 
 Pairs are screened by size and by 512 parity bits before their sets are made;
 only texts of pairs that pass are sent around for that.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emendra.llm.common import by_batch, durable, map_arrow
@@ -37,8 +38,12 @@ from emendra.llm.exact_dedup import text_digest
 from emendra.llm.simhash import fingerprint, hamming_links
 
 SHINGLE = 5
-#: Least and most cells of the counting sketch; it has one for about every four texts between these.
-CELLS, MOST_CELLS = 1 << 14, 1 << 22
+#: Cells of the counting sketch, and those that travel in one row.
+CELLS, CHUNK = 1 << 18, 1 << 14
+#: Texts of a large group that all others are compared to in a round.
+HUBS = 8
+#: Shingles that a text of large groups holds at hand, the least of each residue.
+SLOTS = 16
 #: Rows of one shingle in a task, about.
 SALTED = 20_000
 #: 64-bit words of the parity bits.
@@ -90,23 +95,38 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, counts[_cell(found, len(counts))]))[:first]]
 
 
-def cell_counts(texts: DataFrame, cells: int) -> np.ndarray:
-    """How many shingles of all texts fall into each cell of the sketch."""
+def _chunks(total: np.ndarray) -> Iterator:
+    import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    for k in range(0, len(total), CHUNK):
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([total[k : k + CHUNK].astype("<i8").tobytes()], pa.binary())})
+
+
+def cell_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each cell of the sketch; tasks send their sums in a few rows."""
 
-        total = np.zeros(cells, np.int64)
+    def counted(batches: Iterator) -> Iterator:
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [shingles(words_of(t)) for t in batch.column(0).slice(at, 256).to_pylist()]
-                total += np.bincount(_cell(np.concatenate(sets), cells), minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+                total += np.bincount(_cell(np.concatenate(sets), CELLS), minlength=CELLS)
+        yield from _chunks(total)
 
-    counts = np.zeros(cells, np.int64)
-    for row in map_arrow(texts.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row.cell] = row.n
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                known[k] = known.get(k, 0) + np.frombuffer(n.as_py(), "<i8")
+        if known:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(known), pa.int32()), "n": pa.array([x.tobytes() for x in known.values()], pa.binary())})
+
+    schema = "chunk int, n binary"
+    counts = np.zeros(CELLS, np.int64)
+    for row in map_arrow(map_arrow(texts.select("text"), counted, schema).repartition("chunk"), summed, schema).toLocalIterator():
+        counts[row.chunk : row.chunk + CHUNK] = np.frombuffer(bytes(row.n), "<i8")
     return counts
 
 
@@ -228,6 +248,10 @@ def parities(found: np.ndarray) -> list[int]:
 MAY_BE = "9 * (" + " + ".join(f"bit_count(bits[{k}] ^ odd[{k}])" for k in range(PARITY)) + ") <= size + m and 5 * least(size, m) >= 4 * greatest(size, m)"
 
 
+#: Of the shingles that two texts share in large groups, the one to compare them at: the first slot in which both hold the same, else any.
+ONCE = "coalesce(" + ", ".join(f"nullif(slots[{k}], nullif(slots[{k}], other[{k}]))" for k in range(SLOTS)) + ", token) = token"
+
+
 def _verified(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -263,13 +287,12 @@ def simhash_pairs(sketches: DataFrame, radius: int = 2) -> DataFrame:
     return far.unionByName(same).unionByName(none)
 
 
-def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds: int = 1) -> DataFrame:
+def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds: int = 2) -> DataFrame:
     """Links (a, b) that join every two nodes whose texts (node, text) are similar, directly or over others that are linked.
 
     `sketches`: (node, size, bits, fp) of each node once.
     """
-    cells = min(MOST_CELLS, max(CELLS, 1 << (sketches.count() // 4).bit_length()))
-    counts = cell_counts(texts, cells)
+    counts = cell_counts(texts)
     rows = map_arrow(texts.select("node", "text"), _prefixes(counts), PREFIXES)
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt")
     found = durable(map_arrow(dealt, _paired(group), FOUND))
@@ -278,23 +301,27 @@ def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds
     pairs = _ordered(found.where("large = 0").select("a", "b").unionByName(simhash_pairs(sketches)))
     pairs = durable(pairs.join(bare.withColumnRenamed("node", "a"), "a").join(other, "b").where(MAY_BE).select("a", "b"))
     links = verified(texts, pairs)
-    large = found.where("large > 0").select(F.col("a").alias("token"), F.col("b").alias("node"), "rest").distinct()
+    large = found.where("large > 0").select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
     if not large.isEmpty():
         large = durable(large.join(bare, "node"))
     for turn in range(rounds + 1):
         if large.isEmpty():
             break
         component = connected_components(links)
-        placed = large.drop("component").join(component, "node", "left").select("token", "node", "size", "rest", "bits", F.coalesce("component", "node").alias("component"))
+        placed = large.drop("component").join(component, "node", "left").select("token", "node", "size", "bits", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
         large = durable(placed.join(open_, "token", "left_semi"))
-        near = f"c != component and 9 * least(rest, left) >= 4 * (size + m) and {MAY_BE}"
-        named = [F.col("node").alias("a"), F.col("size").alias("m"), F.col("rest").alias("left"), F.col("bits").alias("odd"), F.col("component").alias("c")]
+        held = large.groupBy("node").agg(*[F.min(F.when(F.pmod("token", F.lit(SLOTS)) == k, F.col("token"))).alias(f"s{k}") for k in range(SLOTS)])
+        # two texts that share many shingles of large groups are compared at one of them
+        ready = large.join(held.select("node", F.array(*[f"s{k}" for k in range(SLOTS)]).alias("slots")), "node")
+        near = f"c != component and {ONCE} and {MAY_BE}"
+        named = [F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("odd"), F.col("component").alias("c"), F.col("slots").alias("other")]
         if turn < rounds:
-            hub = large.groupBy("token").agg(F.min_by(F.struct(*named), F.xxhash64("node", F.lit(turn))).alias("hub")).select("token", "hub.*")
-            fits = large.withColumnRenamed("node", "b").join(hub, "token").where(near)
+            first = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)))
+            hub = ready.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS).select("token", *named)
+            fits = ready.withColumnRenamed("node", "b").join(hub, "token").where(near)
         else:
-            fits = large.withColumnRenamed("node", "b").join(large.select("token", *named), "token").where(f"a < b and {near}")
+            fits = ready.withColumnRenamed("node", "b").join(ready.select("token", *named), "token").where(f"a < b and {near}")
         more = durable(_ordered(fits.select("a", "b")).join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(more)
         links = links.unionByName(verified(texts, more))

@@ -54,7 +54,7 @@ def test_crowded_shingles_are_dealt_out_and_links_stay(spark, monkeypatch):
     want = {frozenset(g) for g in groups(near_copies.near_copy_classes(docs))}
     counts = near_copies.np.full(near_copies.CELLS, 10**6)
     counts[::2] = 0
-    monkeypatch.setattr(near_copies, "cell_counts", lambda texts, cells: counts)
+    monkeypatch.setattr(near_copies, "cell_counts", lambda texts: counts)
     monkeypatch.setattr(near_copies, "SALTED", 100)
     assert {frozenset(g) for g in groups(near_copies.near_copy_classes(docs))} == want and len(want) < 40
 
