@@ -11,7 +11,6 @@ without any break costs n log n.
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,15 +55,15 @@ def splitter(pattern: str):
 
     compiled = regex.compile(pattern)
     tables: dict[int, str] | None = None
-    other = None
+    other: set[str] = set()
 
     def split(text: str) -> list[str]:
         nonlocal tables, other
         if not text.isascii():
             if tables is None:
                 tables = other_tables()
-                other = re.compile("[" + "".join(re.escape(chr(c)) for c in tables) + "]") if tables else None
-            if other and other.search(text):
+                other = set(map(chr, tables))
+            if not other.isdisjoint(set(text)):
                 return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(tables))]
         return compiled.findall(text)
 
