@@ -30,10 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and cut off from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Spark's setting by which a query that is done deletes its shuffle files.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """`df` written to the shared folder and cut off from its lineage.
+
+    `tidy` deletes the shuffle files of that run at once; else they stay until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not tidy:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        # the setting counts for plans made now
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(TIDY, before)
 
 
 _KEPT: dict = {}

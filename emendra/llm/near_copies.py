@@ -264,12 +264,12 @@ def _verified(batches: Iterator) -> Iterator:
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) are similar. Texts travel, as they compress and hashes of shingles don't."""
-    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), tidy=True)
     few = asked.count() <= ASKED
     wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"])
     side = lambda end, name: wanted.select(F.col("node").alias(end), F.col("text").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return durable(map_arrow(both, _verified, "a long, b long"))
+    return durable(map_arrow(both, _verified, "a long, b long"), tidy=True)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def simhash_pairs(sketches: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of nodes that chain all whose fingerprints `fp` are linked by SimHash, and all without words."""
-    first = durable(sketches.groupBy("fp").agg(F.min("node").alias("first")))
+    first = durable(sketches.groupBy("fp").agg(F.min("node").alias("first")), tidy=True)
     links = hamming_links(first.select("fp"), radius)
     far = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = sketches.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -295,22 +295,22 @@ def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds
     counts = cell_counts(texts)
     rows = map_arrow(texts.select("node", "text"), _prefixes(counts), PREFIXES)
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt")
-    found = durable(map_arrow(dealt, _paired(group), FOUND))
+    found = durable(map_arrow(dealt, _paired(group), FOUND), tidy=True)
     bare = sketches.select("node", "size", "bits")
     other = bare.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("odd"))
     pairs = _ordered(found.where("large = 0").select("a", "b").unionByName(simhash_pairs(sketches)))
-    pairs = durable(pairs.join(bare.withColumnRenamed("node", "a"), "a").join(other, "b").where(MAY_BE).select("a", "b"))
+    pairs = durable(pairs.join(bare.withColumnRenamed("node", "a"), "a").join(other, "b").where(MAY_BE).select("a", "b"), tidy=True)
     links = verified(texts, pairs)
     large = found.where("large > 0").select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
     if not large.isEmpty():
-        large = durable(large.join(bare, "node"))
+        large = durable(large.join(bare, "node"), tidy=True)
     for turn in range(rounds + 1):
         if large.isEmpty():
             break
         component = connected_components(links)
         placed = large.drop("component").join(component, "node", "left").select("token", "node", "size", "bits", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-        large = durable(placed.join(open_, "token", "left_semi"))
+        large = durable(placed.join(open_, "token", "left_semi"), tidy=True)
         held = large.groupBy("node").agg(*[F.min(F.when(F.pmod("token", F.lit(SLOTS)) == k, F.col("token"))).alias(f"s{k}") for k in range(SLOTS)])
         # two texts that share many shingles of large groups are compared at one of them
         ready = large.join(held.select("node", F.array(*[f"s{k}" for k in range(SLOTS)]).alias("slots")), "node")
@@ -322,7 +322,7 @@ def similar_links(texts: DataFrame, sketches: DataFrame, group: int = 16, rounds
             fits = ready.withColumnRenamed("node", "b").join(hub, "token").where(near)
         else:
             fits = ready.withColumnRenamed("node", "b").join(ready.select("token", *named), "token").where(f"a < b and {near}")
-        more = durable(_ordered(fits.select("a", "b")).join(pairs, ["a", "b"], "left_anti"))
+        more = durable(_ordered(fits.select("a", "b")).join(pairs, ["a", "b"], "left_anti"), tidy=True)
         pairs = pairs.unionByName(more)
         links = links.unionByName(verified(texts, more))
     return links
@@ -350,8 +350,8 @@ def near_copy_classes(docs: DataFrame, group: int = 16) -> DataFrame:
     an empty table gives an empty result; further columns are ignored. Texts
     and shingles are told apart by 64-bit hashes.
     """
-    keyed = durable(sketched(docs))
+    keyed = durable(sketched(docs), tidy=True)
     texts = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = durable(keyed.select("node", "size", "bits", "fp").dropDuplicates(["node"]))
+    sketches = durable(keyed.select("node", "size", "bits", "fp").dropDuplicates(["node"]), tidy=True)
     component = connected_components(similar_links(texts, sketches, group))
     return keyed.select("doc_id", "sha", "node").join(component, "node", "left").select("doc_id", "sha", F.coalesce("component", "node").alias("component"))
